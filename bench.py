@@ -46,7 +46,7 @@ def main() -> None:
         full.unpersist()
         small = Filter.create(spark, variant, 24, 8, nb_ranks=1).insert_bulk(sequence(spark, 1_000_000)).persist()
         small.words.count()
-        timed(f"lookup_{BULK}_{variant}_2^24", lambda: small.contains_bulk(items).write.format("noop").mode("overwrite").save()) if small.spec.total_bits <= 1 << 24 else None
+        timed(f"lookup_{BULK}_{variant}_2^24", lambda: small.contains_bulk(items).write.format("noop").mode("overwrite").save()) if small.spec.total_bits <= 1 << 25 else None
         small.unpersist()
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(took[n] for n in NAMES), 3), "unit": "sec", "queries": took, "fpr": fprs, "sf": d, "cores": spark.sparkContext.defaultParallelism}))
 

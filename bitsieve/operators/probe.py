@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from bitsieve.plans.layout import SHARD, TEMP, bit, position_names, with_positions, word_index
 from bitsieve.spec import BLOCKED, FilterSpec
 
-#: Largest filter whose words are sent to every task: 2^24 bits are 2 MB.
-BROADCAST_BITS = 1 << 24
+#: Largest filter whose words are sent to every task: 2^25 bits are 4 MB.
+BROADCAST_BITS = 1 << 25
 HIT = "hit"
 
 
@@ -20,7 +20,7 @@ def contains(df: DataFrame, item: str, state: DataFrame, spec: FilterSpec, out:
 
     Rows, duplicates and other columns are kept. ``strategy``: ``broadcast`` sends
     the words to all tasks (rows stay where they are), ``join`` shuffles probes and
-    words by word; ``auto`` takes the first for filters of up to 2^24 bits.
+    words by word; ``auto`` takes the first for filters of up to 2^25 bits.
     """
     if strategy == "auto":
         strategy = "broadcast" if spec.total_bits <= BROADCAST_BITS else "join"

@@ -31,8 +31,8 @@ def test_invariants(spark, variant, more, size2, k):
     fpr = full.fpr(others)
     assert fpr <= (0.5 if variant == "PIM" else 0.2)
     for ids in ([1, 10_000_000], [10_000_000, 1]):
-        rows = [r.hit for r in full.contains_bulk(spark.createDataFrame([(i,) for i in ids], "item BIGINT").coalesce(1)).collect()]
-        assert rows[ids.index(1)]
+        rows = full.contains_bulk(spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "item BIGINT, n INT")).collect()
+        assert len(rows) == 2 and all(r.hit for r in rows if r.item == 1) and all(ids[r.n] == r.item for r in rows)
     back = Filter(spark, f.spec).set_data(full.get_data())
     assert back.weight() == full.weight() and back.true_count(items) == 10_000
     full.unpersist()
