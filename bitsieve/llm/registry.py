@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from bitsieve.llm.decontaminate import OP7_SQL, op7_decontaminate
+from bitsieve.llm.simhash import op3_simhash
+from bitsieve.llm.toxicity import op2_toxicity
 from bitsieve.llm.mixing import OP8_SQL, op8_mixing
 from bitsieve.llm.tokenbin import op5_token_ids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_ids": op5_token_ids, "op7_decontaminate": op7_decontaminate, "op8_mixing": op8_mixing}
+    return {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op5_token_ids": op5_token_ids, "op7_decontaminate": op7_decontaminate, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
