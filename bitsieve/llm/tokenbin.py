@@ -10,7 +10,9 @@ their place in it; partitions are ranges of document ids in ascending order.
 from __future__ import annotations
 
 import json
+import os
 import re
+import struct
 import unicodedata
 import uuid
 import zlib
@@ -29,8 +31,8 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 20
 #: A one bit in so many has its place stored, for select.
 SAMPLE = 256
-#: Words of a task that have their ids at hand; the memory bound of the cache.
-CACHE_WORDS = 300_000
+#: Pieces of text with their ids that a worker keeps, twice at most; this bounds its memory.
+CACHE_WORDS = 600_000
 FORMAT = "part INT, block INT, n_docs BIGINT, n_tokens BIGINT, before BIGINT, width INT, ids BINARY, ends BINARY, n_null BIGINT, first_id BIGINT, doc_ids BINARY"
 
 
@@ -102,6 +104,24 @@ class EliasFano:
         return out
 
 
+class Pieces(dict):
+    """Piece -> packed ids, asked for once. A full table becomes the old one, from which pieces still in use come back."""
+
+    def __init__(self, packed) -> None:
+        super().__init__()
+        self.packed, self.old = packed, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        self[piece] = ids = self.packed(piece) if ids is None else ids
+        return ids
+
+    def renew(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class TokenEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode_batch(..., add_special_tokens=False)``.
 
@@ -114,6 +134,7 @@ class TokenEncoder:
     SAFE = 0x250
 
     def __init__(self, definition: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -127,26 +148,23 @@ class TokenEncoder:
         letter, number, space = of("L"), of("N"), r"\t-\r \x85\xa0"
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self.unsafe = re.compile(f"[^\\x00-\\u{self.SAFE - 1:04x}]").search
-        self.cache: dict[str, bytes] = {}
+        self.pieces = Pieces(self._packed)
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _packed(self, text: str) -> bytes:
+        """The library's ids. Offsets aren't needed, so its call without them is taken."""
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        if self.dtype.itemsize == 2:
+            return struct.pack(f"<{len(ids)}H", *ids)
+        return np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
-        cache = self.cache
         for text in texts:
             if not self.by_piece or self.unsafe(text) or any(a in text for a in self.added):
-                yield self._packed([text])[0]
-                continue
-            pieces = self.split(text)
-            new = [p for p in set(pieces) if p not in cache]
-            if new:
-                if len(cache) + len(new) > CACHE_WORDS:
-                    cache.clear()
-                    new = list(set(pieces))
-                cache.update(zip(new, self._packed(new), strict=True))
-            yield b"".join([cache[p] for p in pieces])
+                yield self._packed(text)
+            else:
+                yield b"".join(map(self.pieces.__getitem__, self.split(text)))
+                self.pieces.renew()
 
 
 _encoders: dict[int, TokenEncoder] = {}
