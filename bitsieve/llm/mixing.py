@@ -43,15 +43,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("share") * F.col("w")).alias("target"))
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """One row per row: doc_id, source, size, source_size, target, taken.
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, keep: list[str] = ()) -> DataFrame:
+    """One row per row: doc_id, source, size, source_size, target, taken, and the columns of ``keep``.
 
     Null and empty texts have size 0 and give 0 words; a null source is a source
     of its own; null ids share a key and stand together; repeated rows count each.
     An empty table gives an empty table. Other columns are ignored.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"), *keep)
     rows = cut(rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS)))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
@@ -66,28 +66,27 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     rest = budget - epochs * F.col("source_size") - (F.col("start") + F.col("upto") - F.col("size"))
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
-    return out.select("doc_id", "r.source", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return out.select("doc_id", "r.source", "size", "source_size", "target", taken.cast("bigint").alias("taken"), *keep)
 
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows with all columns of ``df``, each as often as it is taken.
 
     A document that a budget cuts keeps its first words, single-spaced. Rows that
-    agree in id, source and size share one decision, and take it in turn.
+    are equal in all columns share their copies.
     """
-    plan = mix(df, doc_id, text, source)
-    how = [F.col("m.doc_id").eqNullSafe(F.col(f"d.`{doc_id}`")), F.col("m.source").eqNullSafe(F.col(f"d.`{source}`")), F.col("m.size") == F.col("d.__size"), F.col("m.__n") == F.col("d.__n")]
-    turn = lambda a, b, c, o: F.row_number().over(Window.partitionBy(a, b, c).orderBy(o))
-    rows = df.withColumn("__size", word_count(F.col(text)))
-    rows = rows.withColumn("__n", turn(F.col(doc_id), F.col(source), F.col("__size"), F.col(text)))
-    plan = plan.withColumn("__n", turn(F.col("doc_id"), F.col("source"), F.col("size"), F.col("taken").desc())).where("taken > 0")
-    both = rows.alias("d").join(plan.alias("m"), how[0] & how[1] & how[2] & how[3])
-    copies = F.expr("sequence(1, cast(ceil(taken / size) as int))")
-    both = both.select(*[F.col(f"d.`{c}`").alias(c) for c in df.columns], F.col("m.size").alias("__size"), F.col("taken").alias("__taken"), F.explode(copies).alias("__epoch"))
-    part = F.col("__taken") - (F.col("__epoch") - 1) * F.col("__size")
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+    plan = mix(df.select("*", mark), doc_id, text, source, keep=["__row"]).where("taken > 0")
+    plan = cut(plan.groupBy("__row").agg(F.min("size").alias("__size"), F.collect_list("taken").alias("__taken"), F.count("*").alias("__n")))
+    marked = df.select("*", mark)
+    both = marked.join(plan.where("__n = 1"), "__row")
+    if not (several := plan.where("__n > 1")).isEmpty():
+        both = both.union(marked.join(several, "__row").dropDuplicates(["__row"]).select(both.columns))
+    copies = F.flatten(F.transform("__taken", lambda t: F.transform(F.sequence(F.lit(1), F.ceil(t / F.col("__size"))), lambda e: F.least(F.col("__size"), t - (e - 1) * F.col("__size")))))
+    both = both.select(*[F.col(f"`{c}`") for c in df.columns], "__size", F.explode(copies).alias("__part"))
     words = F.split(F.btrim(F.col(text), F.lit(SPACE_CHARS)), f"[{SPACE}]+")
-    short = F.array_join(F.slice(words, F.lit(1), part.cast("int")), " ")
-    return both.withColumn(text, F.when(part >= F.col("__size"), F.col(text)).otherwise(short)).drop("__size", "__taken", "__epoch")
+    short = F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), " ")
+    return both.withColumn(text, F.when(F.col("__part") >= F.col("__size"), F.col(text)).otherwise(short)).drop("__size", "__part")
 
 
 def op8_mixing(spark: SparkSession, d: str) -> DataFrame:

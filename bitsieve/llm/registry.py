@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from bitsieve.llm.decontaminate import OP7_SQL, op7_decontaminate
 from bitsieve.llm.simhash import op3_simhash
 from bitsieve.llm.toxicity import op2_toxicity
+from bitsieve.llm.language import op4_language
 from bitsieve.llm.mixing import OP8_SQL, op8_mixing
 from bitsieve.llm.tokenbin import op5_token_ids
 
 
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op5_token_ids": op5_token_ids, "op7_decontaminate": op7_decontaminate, "op8_mixing": op8_mixing}
+    return {"pipeline": pipeline, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_token_ids": op5_token_ids, "op7_decontaminate": op7_decontaminate, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
