@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bitsieve.llm.decontaminate import OP7_SQL, op7_decontaminate
 from bitsieve.llm.simhash import op3_simhash
 from bitsieve.llm.toxicity import op2_toxicity
+from bitsieve.llm.embeddings import OP10_SQL, op10_embeddings
 from bitsieve.llm.language import op4_language
 from bitsieve.llm.mixing import OP8_SQL, op8_mixing
 from bitsieve.llm.tokenbin import op5_token_ids
@@ -21,8 +22,8 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_token_ids": op5_token_ids, "op7_decontaminate": op7_decontaminate, "op8_mixing": op8_mixing}
+    return {"pipeline": pipeline, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_token_ids": op5_token_ids, "op7_decontaminate": op7_decontaminate, "op8_mixing": op8_mixing, "op10_embeddings": op10_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op7_decontaminate": OP7_SQL, "op8_mixing": OP8_SQL, "op10_embeddings": OP10_SQL}
