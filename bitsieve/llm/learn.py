@@ -26,6 +26,20 @@ def stratified(df: DataFrame, label: str, per_label: int, key: Column, max_label
     return sorted(few, key=lambda r: str(tuple(r))[:200])
 
 
+def labelled(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, outside: Column, per_label: int) -> tuple[DataFrame, dict[int, int]]:
+    """(k, y, t): texts of about ``per_label`` rows of labels 0 and 1 each; and the labels' counts.
+
+    The rows are drawn from the narrow table of labels, where ``outside`` (a
+    condition on ``k``) holds. Their ids, ``4 * per_label`` at most, are broadcast,
+    so that no text is shuffled.
+    """
+    known = labels.select(F.col(doc_id).cast("bigint").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & outside).dropDuplicates(["k"])
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    ids = df.sparkSession.createDataFrame([(r.k, r.y) for r in stratified(known, "y", per_label, F.col("k"))], "k BIGINT, y INT")
+    texts = df.select(F.col(doc_id).cast("bigint").alias("k"), F.col(text).alias("t"))
+    return texts.join(F.broadcast(ids), "k").select("k", "y", "t"), counts
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
     """Weights and, last, the intercept; Newton steps with an L2 penalty on the weights."""
     a = np.hstack([x, np.ones((len(x), 1))])

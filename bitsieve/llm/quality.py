@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitsieve.llm.common import fold, table
-from bitsieve.llm.learn import logistic, sigmoid, stratified
+from bitsieve.llm.learn import labelled, logistic, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -151,14 +151,12 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Class frequencies are those of all labelled rows. With one class only, its
     share (0 or 1) is returned; without labels, 0.5.
     """
-    known = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)").dropDuplicates(["k"])
-    rows = df.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).join(known, "k").where(fold(F.col("k"), FOLDS) != HELD_OUT)
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    rows, counts = labelled(df, labels, doc_id, text, label, fold(F.col("k"), FOLDS) != HELD_OUT, per_label)
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("y") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
-    few = stratified(features(rows.where(draw < share).withColumn("k", F.col("k").cast("bigint")), "k", "t", ["y"]), "y", 2 * per_label, F.col("doc_id"))
+    few = features(rows, "k", "t", ["y"]).orderBy("doc_id", "y").limit(4 * per_label).collect()
+    if not few:
+        return counts[1] / (counts[0] + counts[1])
     x, y = np.array([r.x for r in few]), np.array([r.y for r in few], np.int64)
     if min(np.bincount(y, minlength=2)) < 2:
         return counts[1] / (counts[0] + counts[1])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitsieve.llm.common import fold, table
-from bitsieve.llm.learn import logistic, sigmoid, stratified
+from bitsieve.llm.learn import labelled, logistic, sigmoid
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -35,7 +35,7 @@ NEGATION = frozenset("not never no none nor isn't aren't don't doesn't wasn't ni
 REPORT = frozenset("said says say told called calls quoted quote reported reportedly alleged claimed claims wrote sagte sagt berichtete nannte dit disait déclaré appelé dijo dice llamó según laut selon".split())
 TARGET = frozenset("you your you're youre u ur yourself he she they him her them those these people du dich dir ihr euch sie tu toi te vous ils elles tú usted ustedes ellos ellas".split())
 INTENT = frozenset("will shall gonna going must should ought i'll we'll werde werden sollte vais va allons devrait voy vamos debería".split())
-VIOLENCE = frozenset("kill hurt beat stab shoot murder burn destroy punch choke strangle die töten verletzen schlagen tuer frapper mourir matar golpear morir".split())
+VIOLENCE = frozenset("kill hurt beat stab shoot murder burn destroy punch choke strangle töten verletzen schlagen tuer frapper mourir matar golpear morir".split())
 
 OTHER, INSULT, NEG, SAID, AIM, MEANT, HARM = range(7)
 CLASSES = {**dict.fromkeys(NEGATION, NEG), **dict.fromkeys(REPORT, SAID), **dict.fromkeys(TARGET, AIM), **dict.fromkeys(INTENT, MEANT), **dict.fromkeys(VIOLENCE, HARM)}
@@ -119,7 +119,7 @@ class Scorer:
             at[""] = True
         #: Weight that a character of clean text brings by chance.
         self.chance = sum(w * r for w, r in stems.values())
-        self.find = re.compile(r"(?<![^\W\d_])" + _pattern(tree)).finditer
+        self.find = re.compile(_pattern(tree)).finditer if words else (lambda text: ())
 
     def sums(self, text: str | None) -> list[float]:
         """By kind, for the clauses that hold a stem or a word of violence (all others add nothing); last, what chance brings."""
@@ -129,7 +129,7 @@ class Scorer:
             return out
         low, done = text.lower(), 0
         for m in self.find(low):
-            if m.start() < done:
+            if m.start() < done or (m.start() and low[m.start() - 1].isalpha()):
                 continue
             begin = max(low.rfind(c, done, m.start()) for c in _CLAUSE_END) + 1
             stop = _CLAUSES.search(low, m.end())
@@ -220,9 +220,8 @@ def learn_stems(texts: list[str | None], labels: np.ndarray) -> dict[str, tuple[
 
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE) -> Scorer:
     """Learn from labelled rows outside the held-out fold, ``per_label`` of each label at most or so."""
-    known = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)").dropDuplicates(["k"])
-    rows = df.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).join(known, "k").where(fold(F.col("k"), FOLDS) != HELD_OUT)
-    few = stratified(rows, "y", per_label, F.col("k"))
+    rows, counts = labelled(df, labels, doc_id, text, label, fold(F.col("k"), FOLDS) != HELD_OUT, per_label)
+    few = rows.orderBy("k", "y").limit(4 * per_label).collect()
     y = np.array([r.y for r in few], np.int64)
     texts = [r.t for r in few]
     # Stems are weighed on one half and the kinds on the other, so that chance stems earn no trust.
@@ -235,10 +234,8 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     scorer.weights = logistic(_damped(x), target, ridge=0.5)
     # No kind speaks for a text, but chance.
     scorer.weights[:-2] = np.maximum(scorer.weights[:-2], 0.0)
-    rates = rows.groupBy("y").count().collect()
-    n = {r["y"]: r["count"] for r in rates}
-    if n.get(0) and n.get(1):
-        scorer.weights[-1] += np.log(n[1] / n[0]) - prior
+    if counts.get(0) and counts.get(1):
+        scorer.weights[-1] += np.log(counts[1] / counts[0]) - prior
     return scorer
 
 
