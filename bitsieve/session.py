@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,3 +43,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint: the rows are written to the shared folder and the plan starts there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more, instead of at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
