@@ -14,6 +14,7 @@ from bitsieve.llm.toxicity import op2_toxicity
 from bitsieve.llm.embeddings import OP10_SQL, op10_embeddings
 from bitsieve.llm.language import op4_language
 from bitsieve.llm.mixing import OP8_SQL, op8_mixing
+from bitsieve.llm.substrings import op6_substrings
 from bitsieve.llm.tokenbin import op5_token_ids
 
 
@@ -24,7 +25,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline, "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_token_ids": op5_token_ids, "op7_decontaminate": op7_decontaminate, "op8_mixing": op8_mixing, "op9_token_counts": op9_token_counts, "op10_embeddings": op10_embeddings}
+    return {"pipeline": pipeline, "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_language": op4_language, "op5_token_ids": op5_token_ids, "op6_substrings": op6_substrings, "op7_decontaminate": op7_decontaminate, "op8_mixing": op8_mixing, "op9_token_counts": op9_token_counts, "op10_embeddings": op10_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
