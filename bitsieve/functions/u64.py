@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from decimal import Decimal
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,16 @@ def srl(c: Column, n: int) -> Column:
     return F.shiftrightunsigned(c, n)
 
 
+def _big(x: int) -> Column:
+    return F.lit(Decimal(x)).cast("decimal(20,0)")
+
+
 def from_decimal(c: Column) -> Column:
     """DECIMAL(20,0) from 0 to 2^64-1 to the BIGINT with the same bits."""
     d = c.cast("decimal(20,0)")
-    return F.when(d >= F.lit(1 << 63).cast("decimal(20,0)"), d - F.lit(1 << 64).cast("decimal(20,0)")).otherwise(d).cast("bigint")
+    return F.when(d >= _big(1 << 63), (d - _big(1 << 64)).cast("decimal(20,0)")).otherwise(d).cast("bigint")
 
 
 def to_decimal(c: Column) -> Column:
     d = c.cast("decimal(20,0)")
-    return F.when(c < 0, d + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(d)
+    return F.when(c < 0, (d + _big(1 << 64)).cast("decimal(20,0)")).otherwise(d)
