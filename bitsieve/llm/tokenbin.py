@@ -16,7 +16,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ BLOCK_TOKENS = 1 << 20
 #: A one bit in so many has its place stored, for select.
 SAMPLE = 256
 #: Pieces of text with their ids that a worker keeps, twice at most; this bounds its memory.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 FORMAT = "part INT, block INT, n_docs BIGINT, n_tokens BIGINT, before BIGINT, width INT, ids BINARY, ends BINARY, n_null BIGINT, first_id BIGINT, doc_ids BINARY"
 
 
@@ -148,16 +148,24 @@ class TokenEncoder:
         letter, number, space = of("L"), of("N"), r"\t-\r \x85\xa0"
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
         self.unsafe = re.compile(f"[^\\x00-\\u{self.SAFE - 1:04x}]").search
-        self.pieces = Pieces(self._packed)
+        # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on.
+        plain = {*range(33, 127), *range(161, 256)} - {173}
+        others = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: chr(b if b in plain else 256 + others.index(b)) for b in range(256)}
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces = Pieces(self._piece)
 
     def _packed(self, text: str) -> bytes:
-        """The library's ids. Offsets aren't needed, so its call without them is taken."""
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece needs no more splitting: the library's model merges it as it is."""
+        ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.alphabet))]
         if self.dtype.itemsize == 2:
             return struct.pack(f"<{len(ids)}H", *ids)
         return np.array(ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
         for text in texts:
             if not self.by_piece or self.unsafe(text) or any(a in text for a in self.added):
@@ -202,7 +210,8 @@ def write_ids(df: DataFrame, path: str, tokenizer_file: str, doc_id: str = "doc_
             return pa.RecordBatch.from_pylist([row], schema=FORMAT_ARROW)
 
         for batch in batches:
-            for doc, packed in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for doc, packed in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
                 ids += (packed, end)
                 docs.append(doc)
                 lengths.append(len(packed) // enc.dtype.itemsize + 1)
