@@ -131,10 +131,10 @@ class Scorer:
         for m in self.find(low):
             if m.start() < done or (m.start() and low[m.start() - 1].isalpha()):
                 continue
-            begin = max(low.rfind(c, done, m.start()) for c in _CLAUSE_END) + 1
+            begin = max(done, max(low.rfind(c, done, m.start()) for c in _CLAUSE_END) + 1)
             stop = _CLAUSES.search(low, m.end())
             done = stop.end() if stop else len(low)
-            self._clause(low[max(begin, 0) : done], out)
+            self._clause(low[begin:done], out)
         return out
 
     def _clause(self, clause: str, out: list[float]) -> None:
