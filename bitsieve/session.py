@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,5 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing refers to any more, instead of at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(4):  # what Python lets go of reaches the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
