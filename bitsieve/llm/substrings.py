@@ -141,7 +141,6 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 TO_BUCKET = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("data", pa.binary())])
 TO_GROUP = pa.schema([("grp", pa.int64()), ("data", pa.binary())])
-MIXED = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("data", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 BUCKET_DDL, GROUP_DDL = "bucket BIGINT, grp BIGINT, data BINARY", "grp BIGINT, data BINARY"
 
@@ -184,9 +183,9 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 
 def _cut_out(rows: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
-    """Cut-outs for the buckets; and, with bucket -1, runs that the group itself can tell to be repeated."""
+    """Cut-outs for the buckets; and, in a bucket of the group's own, runs that it can tell by itself to be repeated."""
     if not rows.num_rows or not answers.num_rows:
-        return _rows(MIXED, [])
+        return _rows(TO_BUCKET, [])
     grp = rows.column("grp")[0].as_py()
     texts = Texts(rows)
     first, count, least, doc, hashes = texts.segments(length)
@@ -212,13 +211,13 @@ def _cut_out(rows: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa
             sent[i] = False
             gone.append((s, s + n))
     del seen
-    out = [(-1, grp, _pack(_merged(np.array(gone, np.int64))))] if gone else []
+    out = [(buckets + grp, grp, _pack(_merged(np.array(gone, np.int64))))] if gone else []
     start, size, key, rank = start[sent], size[sent], key[sent], rank[sent]
     for b, p in _blocks(key):
         p = p[np.argsort(start[p], kind="stable")]
         text = b"".join([raw[s : s + n] for s, n in zip(start[p].tolist(), size[p].tolist(), strict=True)])
         out.append((b, grp, _pack(start[p].astype("<u4"), size[p].astype("<u4"), (key[p] & U(0xFFFFFFFF)).astype("<u4"), rank[p].astype("<i8"), text)))
-    return _rows(MIXED, out)
+    return _rows(TO_BUCKET, out)
 
 
 def _merged(runs: np.ndarray) -> np.ndarray:
@@ -230,8 +229,10 @@ def _merged(runs: np.ndarray) -> np.ndarray:
     return np.stack([runs[head, 0], end[np.append(head[1:] - 1, len(runs) - 1)]], 1).astype("<i8")
 
 
-def _compare(rows: pa.Table, length: int) -> pa.Table:
+def _compare(rows: pa.Table, length: int, buckets: int) -> pa.Table:
     """Runs of a bucket's cut-outs that start in a document of a smaller id too, to their groups."""
+    if rows.column("bucket")[0].as_py() >= buckets:
+        return rows.select(["grp", "data"]).cast(TO_GROUP)
     groups = rows.column("grp").to_pylist()
     start, size, key, rank, source, text = [], [], [], [], [], []
     for g, d in zip(groups, rows.column("data").to_pylist(), strict=True):
@@ -334,13 +335,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     answers = cut(asked.groupBy("bucket").applyInArrow(_answer, GROUP_DDL))
     del asked
     release(spark)
-    both = docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda a, b: _cut_out(a, b, length, n), BUCKET_DDL)
-    sent = cut(both)
-    del both, answers
-    release(spark)
-    found = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _compare(t, length), GROUP_DDL)
-    runs = cut(found.union(sent.where("bucket < 0").select("grp", "data")))
-    del found, sent
+    sent = docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda a, b: _cut_out(a, b, length, n), BUCKET_DDL)
+    runs = cut(sent.groupBy("bucket").applyInArrow(lambda t: _compare(t, length, n), GROUP_DDL))
+    del answers, sent
     release(spark)
     return docs.groupBy("grp").cogroup(runs.groupBy("grp")).applyInArrow(lambda a, b: _finish(a, b, keep), "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept BINARY")
 
