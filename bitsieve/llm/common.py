@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, as a class body for regular expressions.
 SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Rows of one Arrow batch at most.
+BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -15,6 +17,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python a thousand at a time at most.
+
+    Rows with whole texts are large: at Spark's 10,000 rows a batch, a worker's
+    memory would be that of tens of megabytes of text several times over. The
+    session's batch size is lowered, never raised.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(c, UPPER, LOWER)

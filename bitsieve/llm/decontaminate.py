@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from bitsieve.llm.common import ascii_lower, table
 
 WINDOW = 13
-#: Windows that are broadcast at most (about 200 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 500_000
+#: Bytes of windows that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: A document is contaminated if one in so many of its words is hit.
 SHARE = 20
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,7 +47,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     ``keep`` are ignored.
     """
     grams = windows(benchmark, n=n)
-    if grams.count() <= BROADCAST_WINDOWS:
+    size = grams.agg(F.sum(F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("items", " ")) + 8 * F.size("gram"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         grams = F.broadcast(grams)
     rows = df.select(F.col(doc_id).alias("doc_id"), *keep, F.monotonically_increasing_id().alias("row"), words_of(F.col(text)).alias("words"))
     rows = rows.select("doc_id", *keep, "row", "words", F.posexplode_outer("words").alias("pos", "word"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import fold, table
+from bitsieve.llm.common import fold, table, whole_texts
 from bitsieve.llm.learn import stratified
 
 FOLDS, HELD_OUT = 5, 0
@@ -209,7 +209,7 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "spans"][: len(cols)])
 
     schema = "doc_id BIGINT, lang_pred STRING, score DOUBLE" + (", spans ARRAY<STRUCT<first_word: BIGINT, end_word: BIGINT, lang: STRING>>" if spans else "")
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def op4_language(spark: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import fold, table
+from bitsieve.llm.common import fold, table, whole_texts
 from bitsieve.llm.learn import labelled, logistic, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
@@ -142,7 +142,7 @@ def features(df: DataFrame, doc_id: str, text: str, keep: list[str] = ()) -> Dat
 
     rows = df.select(F.col(text).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"), *keep)
     extra = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
-    return rows.mapInArrow(run, f"doc_id BIGINT, {extra}x ARRAY<DOUBLE>")
+    return whole_texts(rows).mapInArrow(run, f"doc_id BIGINT, {extra}x ARRAY<DOUBLE>")
 
 
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = SAMPLE) -> Discriminant | float:
@@ -182,7 +182,7 @@ def score(df: DataFrame, model: Discriminant | float, doc_id: str = "doc_id", te
             s = np.full(len(x), m) if isinstance(m, float) else m.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, score DOUBLE")
+    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, score DOUBLE")
 
 
 def op1_quality(spark: SparkSession, d: str) -> DataFrame:

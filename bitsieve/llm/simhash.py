@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import table
+from bitsieve.llm.common import table, whole_texts
 from bitsieve.llm.components import connected
 from bitsieve.session import cut
 
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, fp BIGINT")
+    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, fp BIGINT")
 
 
 def block_masks(levels: int = LEVELS, blocks: int = DISTANCE + 1) -> list[list[int]]:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import table
+from bitsieve.llm.common import table, whole_texts
 from bitsieve.session import shared_folder
 
 END_ID = 2
@@ -223,7 +223,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_file: str, doc_id: str = "doc_
         if docs:
             yield flush()
 
-    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     rows.mapInArrow(blocks, FORMAT).write.option("compression", "zstd").mode("overwrite").parquet(path)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import table
+from bitsieve.llm.common import table, whole_texts
 
 #: Pre-tokens with their counts that a worker keeps, twice at most; this bounds its memory.
 CACHE = 500_000
@@ -138,7 +138,7 @@ def token_counts(df: DataFrame, vocabulary_file: str | None = None, doc_id: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
 
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, n_bytes BIGINT, n_pretokens BIGINT, n_tokens BIGINT")
+    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, n_bytes BIGINT, n_pretokens BIGINT, n_tokens BIGINT")
 
 
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:

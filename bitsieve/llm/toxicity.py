@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import fold, table
+from bitsieve.llm.common import fold, table, whole_texts
 from bitsieve.llm.learn import labelled, logistic, sigmoid
 
 FOLDS, HELD_OUT = 4, 2
@@ -254,7 +254,7 @@ def score(df: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "te
             sums = np.array([s.sums(t.as_py()) for t in b.column(1)]).reshape(-1, len(KINDS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.score(sums)), *[pa.array(c) for c in sums.T]], names=["doc_id", "score", *KINDS])
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, score DOUBLE, " + ", ".join(f"{k} DOUBLE" for k in KINDS))
+    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, score DOUBLE, " + ", ".join(f"{k} DOUBLE" for k in KINDS))
 
 
 def without_toxic(df: DataFrame, scorer: Scorer, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -268,7 +268,7 @@ def without_toxic(df: DataFrame, scorer: Scorer, text: str = "text", threshold:
             sums = np.array([s.sums(t.as_py()) for t in b.column(at)]).reshape(-1, len(KINDS))
             yield b.filter(pa.array(s.score(sums) < threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return whole_texts(df).mapInArrow(run, df.schema)
 
 
 def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:

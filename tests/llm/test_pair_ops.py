@@ -189,7 +189,7 @@ def test_decontaminate_odd(spark, folder, odd, empty):
 
 def test_decontaminate_without_broadcast(spark, monkeypatch):
     want = key(decontaminate.op7_decontaminate(spark, SF).collect())
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert key(decontaminate.op7_decontaminate(spark, SF).collect()) == want
 
 
