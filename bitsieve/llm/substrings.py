@@ -41,6 +41,8 @@ GRAM = 16
 GROUP_BYTES = 4 << 20
 #: Documents that share a minimizer, beyond which its strings are sent one by one.
 COMMON = 1000
+#: Strings of one minimizer in a row that are cut out together, at most.
+PIECE = 64
 NO_ID = (1 << 63) - 1
 REST_BITS = 40
 U = np.uint64
@@ -197,29 +199,50 @@ def _cut_out(rows: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa
     common = ok & (shared[at] & U(1) == U(1))
     keep = ok & ~common
     # Strings of common minimizers, one by one, under a hash of their own.
-    single = np.repeat(first[common] - np.concatenate([[0], np.cumsum(count[common])[:-1]]), count[common]) + np.arange(count[common].sum()) if common.any() else np.zeros(0, np.int64)
+    single = _spread(first[common], count[common])
     own = hashes[single] ^ (hashes[single + GRAM] * U(3)) ^ (hashes[single + 2 * GRAM] * U(5)) ^ (hashes[single + length - GRAM] * U(7)) if length >= 3 * GRAM else hashes[single]
-    start = np.concatenate([first[keep], single])
-    size = np.concatenate([count[keep], np.ones(len(single), np.int64)]) + length - 1
-    key = np.concatenate([key[keep], dealt(own, buckets)])
-    doc = np.concatenate([doc[keep], np.repeat(doc[common], count[common])])
+    # Long rows of strings in pieces, so that those of periodic text are equal.
+    first, count, key, doc, single_doc = first[keep], count[keep], key[keep], doc[keep], np.repeat(doc[common], count[common])
+    pieces = -(-count // PIECE)
+    nth = _spread(np.zeros(len(count), np.int64), pieces)
+    strings = np.minimum(PIECE, np.repeat(count, pieces) - nth * PIECE)
+    start = np.concatenate([np.repeat(first, pieces) + nth * PIECE, single])
+    size = np.concatenate([strings, np.ones(len(single), np.int64)]) + length - 1
+    key = np.concatenate([np.repeat(key, pieces), dealt(own, buckets)])
+    doc = np.concatenate([np.repeat(doc, pieces), single_doc])
     order = np.argsort(doc, kind="stable")
     start, size, key, rank = start[order], size[order], key[order], texts.rank[doc[order]]
-    raw, seen, sent, gone = texts.raw, {}, np.ones(len(start), bool), []
+    raw, seen, gone = texts.raw, {}, []
+    # Of equal cut-outs the first has the least id; others of that id are more places of it.
+    of = np.arange(len(start))
     for i, (s, n, r) in enumerate(zip(start.tolist(), size.tolist(), rank.tolist(), strict=True)):
-        if seen.setdefault(raw[s : s + n], r) < r:
-            sent[i] = False
+        j, least_id = seen.setdefault(raw[s : s + n], (i, r))
+        if least_id < r:
+            of[i] = -1
             gone.append((s, s + n))
+        else:
+            of[i] = j
     del seen
     out = [(buckets + grp, grp, _pack(_merged(np.array(gone, np.int64))))] if gone else []
-    start, size, key, rank = start[sent], size[sent], key[sent], rank[sent]
-    for b, p in _blocks(key):
-        p = p[np.argsort(start[p], kind="stable")]
-        text = b"".join([raw[s : s + n] for s, n in zip(start[p].tolist(), size[p].tolist(), strict=True)])
-        out.append((b, grp, _pack(start[p].astype("<u4"), size[p].astype("<u4"), (key[p] & U(0xFFFFFFFF)).astype("<u4"), rank[p].astype("<i8"), text)))
+    head = np.flatnonzero(of == np.arange(len(of)))
+    order = np.flatnonzero(of >= 0)
+    order = order[np.argsort(of[order], kind="stable")]
+    places = start[order]
+    number = np.bincount(of[order], minlength=len(of))[head]
+    begin = np.cumsum(number) - number
+    for b, p in _blocks(key[head]):
+        p = np.sort(p)
+        h = head[p]
+        text = b"".join([raw[s : s + n] for s, n in zip(start[h].tolist(), size[h].tolist(), strict=True)])
+        out.append((b, grp, _pack(places[_spread(begin[p], number[p])].astype("<u4"), number[p].astype("<u4"), size[h].astype("<u4"), (key[h] & U(0xFFFFFFFF)).astype("<u4"), rank[h].astype("<i8"), text)))
     return _rows(TO_BUCKET, out)
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each row, ``count`` numbers."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 def _merged(runs: np.ndarray) -> np.ndarray:
     """Runs (start, end), joined where they touch."""
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
@@ -233,19 +256,18 @@ def _compare(rows: pa.Table, length: int, buckets: int) -> pa.Table:
     """Runs of a bucket's cut-outs that start in a document of a smaller id too, to their groups."""
     if rows.column("bucket")[0].as_py() >= buckets:
         return rows.select(["grp", "data"]).cast(TO_GROUP)
-    groups = rows.column("grp").to_pylist()
-    start, size, key, rank, source, text = [], [], [], [], [], []
-    for g, d in zip(groups, rows.column("data").to_pylist(), strict=True):
-        s, n, k, r, t = _unpack(d)
-        start.append(np.frombuffer(s, "<u4").astype(np.int64))
-        size.append(np.frombuffer(n, "<u4").astype(np.int64))
-        key.append(np.frombuffer(k, "<u4"))
-        rank.append(np.frombuffer(r, "<i8"))
-        source.append(np.full(len(start[-1]), g))
-        text.append(t)
-    start, size, key, rank, source, raw = *map(np.concatenate, (start, size, key, rank, source)), b"".join(text)
+    columns: list[list] = [[] for _ in range(6)]
+    text = []
+    for g, d in zip(rows.column("grp").to_pylist(), rows.column("data").to_pylist(), strict=True):
+        *parts, own = _unpack(d)
+        arrays = [np.frombuffer(p, t).astype(np.int64) for p, t in zip(parts, ("<u4", "<u4", "<u4", "<u4", "<i8"), strict=True)]
+        for column, x in zip(columns, [*arrays, np.full(len(arrays[1]), g)], strict=True):
+            column.append(x)
+        text.append(own)
+    place, number, size, key, rank, source = map(np.concatenate, columns)
+    raw = b"".join(text)
     del text
-    at = np.cumsum(size) - size
+    at, begin = np.cumsum(size) - size, np.cumsum(number) - number
     # Equal cut-outs: only the least id's is compared further.
     order = np.argsort(rank, kind="stable")
     seen, kept, gone = {}, [], []
@@ -256,43 +278,46 @@ def _compare(rows: pa.Table, length: int, buckets: int) -> pa.Table:
             kept.append(i)
     del seen
     gone, kept = np.array(gone, np.int64), np.array(kept, np.int64)
-    found = [np.stack([source[gone], start[gone], start[gone] + size[gone]], 1)]
+    found = [np.stack([gone, np.zeros(len(gone), np.int64), size[gone]], 1)]
     # A cut-out whose minimizer no other cut-out has repeats nothing.
-    order = np.argsort(key[kept], kind="stable")
-    kept = kept[order]
+    kept = kept[np.argsort(key[kept], kind="stable")]
     k = key[kept]
     partner = np.zeros(len(k), bool)
     partner[1:] = k[1:] == k[:-1]
     partner[:-1] |= k[1:] == k[:-1]
     kept = kept[partner]
     if len(kept):
-        found.append(_by_suffixes(raw, at[kept], size[kept], rank[kept], source[kept], start[kept], length))
+        found.append(_by_suffixes(raw, at[kept], size[kept], rank[kept], kept, length))
     runs = np.concatenate(found)
+    # A run in a cut-out is one in the text at each of its places.
+    own = runs[:, 0]
+    where = place[_spread(begin[own], number[own])]
+    again = np.repeat(runs, number[own], axis=0)
+    again[:, 0] = source[again[:, 0]]
+    again[:, 1:] += where[:, None]
     out = []
-    order = np.argsort(runs[:, 0], kind="stable")
-    runs = runs[order]
-    for part in np.split(runs, np.flatnonzero(np.diff(runs[:, 0])) + 1) if len(runs) else []:
+    again = again[np.argsort(again[:, 0], kind="stable")]
+    for part in np.split(again, np.flatnonzero(np.diff(again[:, 0])) + 1) if len(again) else []:
         out.append((int(part[0, 0]), _pack(_merged(part[:, 1:]))))
     return _rows(TO_GROUP, out)
 
 
-def _by_suffixes(raw: bytes, at: np.ndarray, size: np.ndarray, rank: np.ndarray, source: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """(group, start, end) of each string in the cut-outs that a smaller id has as well."""
+def _by_suffixes(raw: bytes, at: np.ndarray, size: np.ndarray, rank: np.ndarray, name: np.ndarray, length: int) -> np.ndarray:
+    """(name of the cut-out, start, end) of runs of strings that a smaller id has as well."""
     text = np.frombuffer(b"".join([raw[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)]), np.uint8)
     begin = np.cumsum(size) - size
     strings = size - length + 1
-    owner = np.repeat(np.arange(len(size)), strings)
-    places = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings) + begin[owner]
-    found = [np.zeros((0, 3), np.int64)]
-    for p, heads in SuffixSorter(text, length).groups(places):
-        o = np.searchsorted(begin, p, "right") - 1
-        r = rank[o]
+    again = np.zeros(len(text), bool)
+    for p, heads in SuffixSorter(text, length).groups(_spread(begin, strings)):
+        r = rank[np.searchsorted(begin, p, "right") - 1]
         least = np.minimum.reduceat(r, heads)
-        more = r > np.repeat(least, np.diff(np.append(heads, len(p))))
-        o, q = o[more], p[more]
-        where = start[o] + q - begin[o]
-        found.append(np.stack([source[o], where, where + length], 1))
-    return np.concatenate(found)
+        again[p[r > np.repeat(least, np.diff(np.append(heads, len(p))))]] = True
+    found = np.flatnonzero(again)
+    owner = np.searchsorted(begin, found, "right") - 1
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(found) > 1) | (np.diff(owner) > 0)])) if len(found) else found
+    last = np.append(new[1:] - 1, len(found) - 1) if len(found) else new
+    o = owner[new]
+    return np.stack([name[o], found[new] - begin[o], found[last] - begin[o] + length], 1)
 
 
 def _finish(rows: pa.Table, runs: pa.Table, keep: bool) -> pa.Table:
