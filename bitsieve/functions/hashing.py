@@ -74,21 +74,23 @@ def with_hash64(df: DataFrame, item: str, outs: dict[str, int]) -> DataFrame:
     return over(lambda h: h + F.shiftleft(h, 31))
 
 
-@lru_cache
+#: Multiplier and shift of the rule that spreads a byte over 24 bits.
+MIX_FACTOR, MIX_SHIFT = 0x9E3779B97F4A7C15, 40
+
+
 def mixing_table() -> tuple[int, ...]:
-    """256 values that spread a byte over 64 bits: the hash family's second function of 0..255."""
-    return tuple(hash64(i, seeds()[1]) for i in range(256))
+    """What the rule gives for each byte."""
+    return tuple((i * MIX_FACTOR & MASK64) >> MIX_SHIFT for i in range(256))
 
 
-def mix16(x: Column, i: int, bits: int, table: tuple[int, ...] | None = None) -> Column:
-    """Low ``bits`` bits of the xor of two table entries, for bits i..i+7 and i+8..i+15 of the item."""
-    small = F.array(*[F.lit(v & ((1 << bits) - 1)).cast("bigint") for v in (table or mixing_table())])
-    byte = lambda n: F.get(small, srl(x, n).bitwiseAND(lit64(255)).cast("int"))
-    return byte(i).bitwiseXOR(byte(i + 8))
+def mix16(x: Column, i: int, bits: int) -> Column:
+    """Low ``bits`` bits of the xor of the spread bytes i..i+7 and i+8..i+15 of the item. Build it inside ``wrapping``."""
+    byte = lambda n: srl(srl(x, n).bitwiseAND(lit64(255)) * lit64(MIX_FACTOR), MIX_SHIFT)
+    return byte(i).bitwiseXOR(byte(i + 8)).bitwiseAND(lit64((1 << bits) - 1))
 
 
-def mix16_model(x: int, i: int, bits: int, table: tuple[int, ...] | None = None) -> int:
-    t = table or mixing_table()
+def mix16_model(x: int, i: int, bits: int) -> int:
+    t = mixing_table()
     return (t[(x >> i) & 255] ^ t[(x >> (i + 8)) & 255]) & ((1 << bits) - 1)
 
 

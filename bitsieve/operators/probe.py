@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitsieve.plans.layout import SHARD, TEMP, bit, position_names, with_positions, word_index
-from bitsieve.spec import BLOCKED, FilterSpec
+from bitsieve.plans.layout import SHARD, TEMP, bit, position_names, with_positions, word_index, word_masks
+from bitsieve.spec import FilterSpec
 
 #: Largest filter whose words are sent to every task: 2^25 bits are 4 MB.
 BROADCAST_BITS = 1 << 25
@@ -56,32 +56,15 @@ def _by_join(df: DataFrame, item: str, state: DataFrame, spec: FilterSpec, out:
     key = TEMP + "key"
     df = df.withColumn(key, F.col(item).cast("bigint"))
     items = with_positions(df.select(key).where(F.col(key).isNotNull()).distinct(), key, spec, dispatch)
-    need = _masks(items, key, spec)
-    words = state.select(F.col("shard").alias(SHARD), F.col("word_idx").alias(TEMP + "w"), "word")
-    found = need.join(words, [SHARD, TEMP + "w"], "left")
-    ok = F.coalesce("word", F.lit(0).cast("bigint")).bitwiseAND(F.col(TEMP + "m")) == F.col(TEMP + "m")
+    need = word_masks(items, [key], spec)
+    words = state.select(F.col("shard").alias(SHARD), F.col("word_idx").alias("w"), "word")
+    found = need.join(words, [SHARD, "w"], "left")
+    ok = F.coalesce("word", F.lit(0).cast("bigint")).bitwiseAND(F.col("m")) == F.col("m")
     found = found.groupBy(key).agg(F.bool_and(ok).alias(TEMP + "hit"))
     cols = [F.col(f"`{c}`") for c in df.columns if c not in (key, out)]
     return df.join(found, key, "left").select(*cols, F.col(TEMP + "hit").alias(out))
 
 
-def _masks(items: DataFrame, key: str, spec: FilterSpec) -> DataFrame:
-    """A row for each word that an item needs, with the bits needed.
-
-    Bits of one item that share a word share a row; in the blocked layout all of
-    them lie in two words at most.
-    """
-    names = position_names(spec)
-    if spec.layout == BLOCKED:
-        first = word_index(F.col(names[0]))
-        part = lambda w: reduce(lambda a, b: a.bitwiseOR(b), [F.when(word_index(F.col(p)) == w, bit(F.col(p))).otherwise(F.lit(0).cast("bigint")) for p in names])
-        pairs = F.array(F.struct(first.alias("w"), part(first).alias("m")), F.struct((first + 1).alias("w"), part(first + 1).alias("m")))
-        rows = items.select(key, SHARD, F.explode(pairs).alias("p")).where("p.m <> 0")
-        return rows.select(key, SHARD, F.col("p.w").alias(TEMP + "w"), F.col("p.m").alias(TEMP + "m"))
-    rows = items.select(key, SHARD, F.explode(F.array_distinct(F.array(*names))).alias("p"))
-    return rows.select(key, SHARD, word_index(F.col("p")).alias(TEMP + "w"), bit(F.col("p")).alias(TEMP + "m"))
-
-
 def false_positive_rate(df: DataFrame, item: str, state: DataFrame, spec: FilterSpec, **how) -> DataFrame:
     """One row over known non-members: ``n``, ``hits`` and the rate ``fpr``."""
     hit = F.col(HIT).cast("int")

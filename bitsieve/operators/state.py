@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.plans.layout import SHARD, bit, position_names, with_positions, word_index
+from bitsieve.plans.layout import SHARD, with_positions, word_masks
 from bitsieve.spec import FilterSpec
 
 STATE_SCHEMA = "shard INT, word_idx BIGINT, word BIGINT"
@@ -21,10 +21,8 @@ def build(df: DataFrame, item: str, spec: FilterSpec, dispatch=None) -> DataFram
     Partial bit_or runs before the exchange, so an item that repeats any number of
     times moves one word per task at most.
     """
-    names = position_names(spec)
     df = with_positions(df.select(F.col(item).alias("item")).where("item IS NOT NULL"), "item", spec, dispatch)
-    df = df.select(SHARD, F.explode(F.array(*names)).alias("pos"))
-    return _or(df.select(F.col(SHARD).alias("shard"), word_index(F.col("pos")).alias("word_idx"), bit(F.col("pos")).alias("word")))
+    return _or(word_masks(df, [], spec).select(F.col(SHARD).alias("shard"), F.col("w").alias("word_idx"), F.col("m").alias("word")))
 
 
 def _or(words: DataFrame) -> DataFrame:

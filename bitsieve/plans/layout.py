@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +63,35 @@ def bit(pos: Column) -> Column:
 
 def word_index(pos: Column) -> Column:
     return srl(pos, 6)
+
+
+def word_masks(rows: DataFrame, keep: list[str], spec: FilterSpec) -> DataFrame:
+    """A row for each word that a row's item needs: the kept columns, shard, ``w`` (word) and ``m`` (its bits).
+
+    In the blocked layout all of an item's bits lie in two words at most, and are
+    put together before rows are made of them; elsewhere each bit is a row.
+    """
+    names = position_names(spec)
+    if spec.layout == BLOCKED:
+        first = word_index(F.col(names[0]))
+        part = lambda w: reduce(lambda a, b: a.bitwiseOR(b), [F.when(word_index(F.col(p)) == w, bit(F.col(p))).otherwise(lit64(0)) for p in names])
+        pairs = F.array(F.struct(first.alias("w"), part(first).alias("m")), F.struct((first + 1).alias("w"), part(first + 1).alias("m")))
+        return rows.select(*keep, SHARD, F.inline(pairs)).where("m <> 0")
+    rows = rows.select(*keep, SHARD, F.explode(F.array(*names)).alias("p"))
+    return rows.select(*keep, SHARD, word_index(F.col("p")).alias("w"), bit(F.col("p")).alias("m"))
+
+
+#: Leading bits of an item's first position that name its bucket.
+BUCKET_BITS = 8
+
+
+def with_bucket(df: DataFrame, item: str, spec: FilterSpec, out: str = "bucket", bits: int = BUCKET_BITS) -> DataFrame:
+    """Add the bucket (INT) of the item's first position: ``repartition`` by it puts items that touch the same words together.
+
+    Filters of less than ``bits`` bits have a bucket for each position. Builds and probes
+    don't need it, as their shuffles are by word; it serves own per-partition work.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns if c != out]
+    first = position_names(spec)[0]
+    rows = with_positions(df, item, spec)
+    return rows.select(*cols, srl(F.col(first), max(0, spec.shard_size2 - bits)).cast("int").alias(out))

@@ -11,7 +11,7 @@ from bitsieve.functions.hashing import mixing_table, seeds, string_key
 from bitsieve.operators import joins, probe, state
 from bitsieve.operators.filter import Filter
 from bitsieve.plans import report
-from bitsieve.plans.layout import SHARD, position_names, with_positions
+from bitsieve.plans.layout import SHARD, position_names, with_bucket, with_positions
 from bitsieve.session import shared_folder
 from bitsieve.sources import state_io
 from bitsieve.spec import FilterSpec, Variant
@@ -225,6 +225,11 @@ def position_sums_sql(spec: FilterSpec) -> str:
     return f"SELECT item, shard::BIGINT AS shard, list_sum(pos)::BIGINT AS pos_sum FROM ({sql_positions('SELECT c_custkey FROM customer', 'c_custkey', spec)})"
 
 
+def bucket_histogram(spark: SparkSession, d: str) -> DataFrame:
+    rows = with_bucket(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", FLAT16)
+    return rows.groupBy("bucket").agg(F.count("*").alias("n_rows"))
+
+
 def word_histogram(spark: SparkSession, d: str) -> DataFrame:
     words = state.build(table(spark, d, "orders"), "o_orderkey", FLAT16)
     return words.groupBy(F.bit_count("word").cast("bigint").alias("bits")).agg(F.count("*").alias("n_words"))
@@ -318,6 +323,7 @@ def catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "flat_positions": (position_sums(FLAT20), position_sums_sql(FLAT20)),
         "blocked_positions": (position_sums(BLOCKED20), position_sums_sql(BLOCKED20)),
         "sharded_positions": (position_sums(SHARDED24), position_sums_sql(SHARDED24)),
+        "bucket_histogram": (bucket_histogram, f"SELECT (pos[1] // 256)::INT AS bucket, count(*) AS n_rows FROM ({sql_positions('SELECT o_orderkey FROM orders', 'o_orderkey', FLAT16)}) GROUP BY 1"),
         "word_bitcount_histogram": (word_histogram, f"SELECT bits, count(*) AS n_words FROM (SELECT p // 64 AS w, count(*) AS bits FROM ({_bits_of('orders', 'o_orderkey', FLAT16)}) GROUP BY 1) GROUP BY 1"),
         "roundtrip_weight": (roundtrip_weight, f"SELECT count(*) AS weight FROM ({_bits_of('part', 'p_partkey', BLOCKED16)})"),
         "saved_weight": (saved_weight, f"SELECT count(*) AS weight FROM ({_bits_of('part', 'p_partkey', FLAT20)})"),

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from bitsieve import FilterSpec, queries
+from bitsieve import FilterSpec, measure, queries
 from bitsieve.plans import report
 from bitsieve.sources import measures
 from bitsieve.streaming import ingest
@@ -32,6 +32,13 @@ def test_report(spark, tmp_path):
     assert not measures.Recorder(spark).rows
 
 
+@pytest.mark.parametrize("kind,columns", [("PIM", 6), ("CACHE", 5)])
+def test_measure(spark, tmp_path, kind, columns):
+    measure.main(["-t", kind, "-k", "3", "-m", "16", "-n", "500", "-l", str(tmp_path / "m")])
+    rows = measures.read_measures(spark, str(tmp_path / "m"), measures.SHARDED_SCHEMA if columns == 6 else measures.BLOCKED_SCHEMA)
+    assert {r.id for r in rows.collect()} == {"init", "insert", "weight", "lookup", "get_data", "set_data", "fpr"} and len(rows.columns) == columns
+
+
 def test_stream(spark, tmp_path):
     spec = FilterSpec("SYNC_BASIC", 16, 4)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
