@@ -92,7 +92,7 @@ class Filter:
         spec, words = state_io.load(spark, path, expected)
         return cls(spark, spec, words, dispatch)
 
-    def get_data(self, strategy: str = "auto") -> DataFrame:
+    def get_data(self) -> DataFrame:
         """Binary export: (shard, chunk, bytes), least significant bit first, in order."""
         return state_io.to_bytes(self.words, self.spec)
 
