@@ -30,6 +30,8 @@ SAMPLE = 4000
 #: Lengths of stems, and how many are kept at most.
 STEM = (3, 10)
 MAX_STEMS = 400
+#: What a document that holds a kept stem counts for further ones.
+EXPLAINED = 0.1
 
 NEGATION = frozenset("not never no none nor isn't aren't don't doesn't wasn't nicht kein keine keinen nie niemals pas jamais aucun aucune nunca jamás ningún ninguna".split())
 REPORT = frozenset("said says say told called calls quoted quote reported reportedly alleged claimed claims wrote sagte sagt berichtete nannte dit disait déclaré appelé dijo dice llamó según laut selon".split())
@@ -170,39 +172,53 @@ def _damped(sums: np.ndarray) -> np.ndarray:
     return np.hstack([np.log1p(sums[:, :4].sum(1, keepdims=True)), np.log1p(sums)])
 
 
+def _beyond(a: float, b: float, n1: int, n0: int) -> float:
+    """Likelihood ratio of a stem in a of n1 and b of n0 documents; 0 unless it stands for the former."""
+    if a / n1 <= 2 * b / n0:
+        return 0.0
+    both = (a + b) / (n1 + n0)
+    return float(2 * (a * np.log(a / (n1 * both)) + (b * np.log(b / (n0 * both)) if b else 0.0)))
+
+
+def _stems(text: str) -> Counter:
+    return Counter(w[:k] for w in _WORD.findall(text) for k in range(STEM[0], min(len(w), STEM[1]) + 1))
+
+
 def learn_stems(texts: list[str | None], labels: np.ndarray) -> dict[str, tuple[float, float]]:
     """Stems that mark label 1: (log of the ratio of their rates, rate in clean text), by character.
 
-    A stem is kept if its likelihood ratio over documents is beyond chance for the
-    number of stems tried, those first whose counts of occurrences are surest; of stems that extend each other one is
-    kept, and the longest of those that stand for the same documents.
+    Equal texts count once. A stem is kept if its likelihood ratio over documents
+    is beyond chance for the number of stems tried, those first whose counts of
+    occurrences are surest. Documents that a kept stem is in count a tenth from
+    then on, so that what copies of toxic texts happen to share isn't taken for
+    their insults. Of stems that extend each other one is kept, and the longest
+    of those that stand for the same documents.
     """
+    rows = sorted({((t or "").lower(), y) for t, y in zip(texts, labels.tolist(), strict=True)})
     docs, seen, size = (Counter(), Counter()), (Counter(), Counter()), [1, 1]
-    for t, y in zip(texts, labels.tolist(), strict=True):
-        low = (t or "").lower()
+    for low, y in rows:
+        n = _stems(low)
         size[y] += len(low)
-        n = Counter()
-        for w in _WORD.findall(low):
-            for k in range(STEM[0], min(len(w), STEM[1]) + 1):
-                n[w[:k]] += 1
         docs[y].update(n.keys())
         seen[y].update(n)
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
     if not n1 or not n0:
         return {}
-    found = []
     tried = sum(n >= 3 for n in docs[1].values()) + 1
+    least = 2 * np.log(tried / 0.05)
+    found = []
     for s, a in docs[1].items():
-        b = docs[0][s]
-        if a < 3 or a / n1 <= 2 * b / n0:
-            continue
-        both = (a + b) / (n1 + n0)
-        g = 2 * (a * np.log(a / (n1 * both)) + (b * np.log(b / (n0 * both)) if b else 0.0))
-        if g > 2 * np.log(tried / 0.05):
+        if a >= 3 and _beyond(a, docs[0][s], n1, n0) > least:
             k1, k0 = seen[1][s], seen[0][s]
             rate = (k1 + k0) / (size[0] + size[1])
             sure = 2 * (k1 * np.log(k1 / (size[1] * rate)) + (k0 * np.log(k0 / (size[0] * rate)) if k0 else 0.0))
             found.append((float(sure), s))
+    wanted, holds = {s for _, s in found}, {}
+    for i, low in enumerate(low for low, y in rows if y):
+        for s in wanted.intersection(_stems(low)):
+            holds.setdefault(s, []).append(i)
+    worth = np.ones(n1)
     out: dict[str, tuple[float, float]] = {}
     inner: set[str] = set()
     for _, s in sorted(found, key=lambda x: (-x[0], -len(x[1]), x[1])):
@@ -210,9 +226,10 @@ def learn_stems(texts: list[str | None], labels: np.ndarray) -> dict[str, tuple[
             continue
         clean = (seen[0][s] + 0.5) / size[0]
         weight = float(np.log((seen[1][s] + 0.5) / size[1] / clean))
-        if weight > 0:
+        if weight > 0 and _beyond(float(worth[holds[s]].sum()), docs[0][s], n1, n0) > least:
             out[s] = (weight, clean)
             inner.update(s[:n] for n in range(STEM[0], len(s)))
+            worth[holds[s]] = EXPLAINED
         if len(out) == MAX_STEMS:
             break
     return out
