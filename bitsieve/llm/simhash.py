@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from bitsieve.llm.common import table, whole_texts
 from bitsieve.llm.components import connected
+from bitsieve.llm.minhash import keep_one as keep_one
 from bitsieve.session import cut
 
 SHINGLE = 3
@@ -230,24 +231,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that of the least id, with all columns; of rows that repeat it, one.
-
-    Components without any id keep one row of each distinct text.
-    """
-    found = near_duplicates(df, doc_id, text)
-    kept = found.where("doc_id = component_id OR component_id IS NULL").select("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp")).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
-    kept = cut(kept)
-    single, several = kept.where("n = 1 AND doc_id IS NOT NULL"), kept.where("n > 1 OR doc_id IS NULL")
-    out = df.join(single.select(F.col("doc_id").alias("__k")), F.col(doc_id) == F.col("__k"), "left_semi")
-    if several.isEmpty():
-        return out
-    again = df.join(several.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__k")), F.col(doc_id) == F.col("__k"), "left_semi").dropDuplicates([doc_id])
-    if several.where("doc_id IS NULL").isEmpty():
-        return out.union(again)
-    return out.union(again).union(df.where(F.col(doc_id).isNull()).dropDuplicates([text]))
-
-
 def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
     rows = near_duplicates(table(spark, d, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

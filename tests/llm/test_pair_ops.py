@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from conftest_data import CLASH, ODD, SF
 
-from bitsieve.llm import decontaminate, embeddings, mixing, registry, simhash, substrings, suffixsort
+from bitsieve.llm import decontaminate, embeddings, minhash, mixing, registry, simhash, substrings, suffixsort
 from bitsieve.llm.components import connected
 
 
@@ -86,6 +86,68 @@ def test_simhash(spark, documents, odd, empty):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 2: 1, None: 1, 3: 1, 6: 1, 7: 1, 8: 1, 9: 1, -5: 1, 2**62: 1}) or kept.where("doc_id = 1").count() == 1
 
 
+def brute_jaccard(a, b):
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def brute_keep_one(rows):
+    """Indexes of the rows (doc_id, text) that stay: the least id, null last, of each component of pairs at 0.8 or more."""
+    label = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for k in range(i):
+            if label[i] != label[k] and brute_jaccard(a, rows[k][1]) >= 0.8:
+                x, y = label[i], label[k]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    best = {}
+    for i, k in enumerate(label):
+        best[k] = min(best.get(k, i), i, key=lambda j: (rows[j][0] is None, rows[j][0] or 0))
+    return set(best.values())
+
+
+def planted_copies(seed=3, bases=6, copies=14, words=300):
+    """(doc_id, text): copies with 0 to 13 words replaced each, of a similarity of 1 down to 0.64, of the base or of the copy before."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for b in range(bases):
+        base = [f"w{x}" for x in rng.integers(0, 5000, words)]
+        last = base
+        for e in range(copies):
+            own = list(last if b % 2 else base)
+            for at in rng.choice(words // 8, e, replace=False) * 8 + 2:
+                own[at] = f"new{rng.integers(0, 1 << 40)}"
+            rows.append((len(rows) * 7 % 83, " ".join(own)))
+            last = own
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_keep_one_links_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "FILE_ROWS", block)
+    rows = planted_copies()
+    at = [brute_jaccard(rows[0][1], t) for _, t in rows[1:14]]
+    assert max(at) > 0.95 and sum(0.8 <= x < 0.9 for x in at) > 2 and min(at) < 0.8
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    assert sorted(r.text for r in minhash.keep_one(df).collect()) == sorted(rows[i][1] for i in brute_keep_one(rows))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forest(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(40, 60)), replace=False), rng.integers(0, 1 << 60, int(rng.integers(0, 12)), dtype=np.uint64)])) for _ in range(60)]
+    want = np.arange(60)
+    for i in range(60):
+        for k in range(i):
+            if minhash.jaccard(sets[i], sets[k]) >= 0.8:
+                want = simhash.union(want, np.array([i]), np.array([k]))
+    assert (minhash.forest(sets) == want).all() and 1 < len(set(want.tolist())) < 60
+
+
 @pytest.mark.parametrize("rows,limit", [(1, 1024), (700, 1024), (3000, 40)])
 def test_simhash_links(spark, rows, limit, monkeypatch):
     """Random fingerprints, chains of near ones, and a dense group that makes files split."""
