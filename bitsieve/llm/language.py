@@ -139,19 +139,19 @@ def _word_numbers(n: int, starts: np.ndarray) -> np.ndarray:
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     """Labels of the best path, of which each change costs ``penalty``.
 
-    Languages may change where the language that a word favours does. Where no stretch of words favours another language by the penalty over the one
-    that fits the whole best, the path never leaves it; else it is traced step by step.
+    A path that leaves the language which fits the whole best wins at most the best
+    first stretch and the best last one for one change, and the best stretch of all
+    for each further one. Where neither pays, the path is known; else it is traced
+    word by word.
     """
     n, k = scores.shape
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, [best]], axis=0)
-    low = np.minimum.accumulate(np.vstack([np.zeros(k), gain[:-1]]), axis=0)
-    if (gain - low).max() <= penalty:
+    before = np.vstack([np.zeros(k), gain[:-1]])
+    head, tail = gain.max(), (gain[-1] - before.min(0)).max()
+    if (gain - np.minimum.accumulate(before, axis=0)).max() <= penalty and max(head, 0) + max(tail, 0) <= penalty:
         return np.full(n, best)
-    # Words in a row that favour the same language are one step: no switch inside them pays.
-    first = scores.argmax(1)
-    starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-    steps = np.add.reduceat(scores, starts, axis=0).tolist()
+    steps = scores.tolist()
     at, back = steps[0], []
     for step in steps[1:]:
         moved = max(at)
@@ -164,7 +164,7 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     for top, left in reversed(back):
         label = top if left[label] else label
         path.append(label)
-    return np.repeat(np.array(path[::-1]), np.diff(np.append(starts, n)))
+    return np.array(path[::-1])
 
 
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:

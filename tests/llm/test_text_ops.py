@@ -106,6 +106,23 @@ def test_viterbi_against_all_paths():
         assert np.isclose(value(path.tolist()), best)
 
 
+def test_viterbi_against_every_path():
+    """Also those that change between words which favour the same language, and those that only pay with two stretches together."""
+    import itertools
+
+    rng = np.random.default_rng(11)
+    paths = np.array(list(itertools.product(range(3), repeat=6)))
+    changes = (paths[:, 1:] != paths[:, :-1]).sum(1)
+    for penalty in (4.0, 8.0):
+        for s in rng.normal(0, 3, (400, 6, 3)):
+            path = language.viterbi(s, penalty)
+            value = s[np.arange(6), path].sum() - penalty * (path[1:] != path[:-1]).sum()
+            assert np.isclose(value, (s[np.arange(6), paths].sum(1) - penalty * changes).max())
+    halves = np.array([[9.95, 0.0, 0.05], [-90.0, 9.95, 0.05]])
+    halves[0, 1] = -90.0
+    assert language.viterbi(halves, 12.0).tolist() == [0, 1]
+
+
 def test_language(spark, odd, empty):
     d = SF.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{d}/documents.parquet")
