@@ -21,8 +21,8 @@ from bitsieve.llm.common import fold, table, whole_texts
 from bitsieve.llm.learn import stratified
 
 FOLDS, HELD_OUT = 5, 0
-#: Texts of each language that are learned from, and languages at most.
-SAMPLE, MAX_LANGS = 400, 200
+#: Texts of each language that are learned from.
+SAMPLE = 400
 #: Log-odds that a switch of language costs.
 PENALTY = 12.0
 TABLE_BITS = 16
@@ -170,10 +170,10 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from ``sample`` texts or so of each language, outside the held-out fold.
 
-    The bound: MAX_LANGS languages, the commonest ones. Without labelled rows the model knows no language.
+    Every language is learned, so the model grows with their number. Without labelled rows the model knows no language.
     """
     rows = df.select(F.col(doc_id).alias("k"), F.col(text).alias("t"), F.col(lang).alias("y")).where((fold(F.col("k"), FOLDS) != HELD_OUT) & F.col("t").isNotNull())
-    few = stratified(rows, "y", sample, F.col("k"), MAX_LANGS)
+    few = stratified(rows, "y", sample, F.col("k"))
     langs = sorted({r.y for r in few})
     counts = np.full((1 << TABLE_BITS, len(langs)), SMOOTH)
     seen = np.zeros((len(_GROUPS), len(langs)))

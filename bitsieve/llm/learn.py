@@ -5,24 +5,24 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
-def stratified(df: DataFrame, label: str, per_label: int, key: Column, max_labels: int = 1000) -> list[Row]:
+def stratified(df: DataFrame, label: str, per_label: int, key: Column) -> list[Row]:
     """About ``per_label`` rows of each label, at most that many times the labels, to the driver.
 
     A row is taken if the hash of its key is small enough for its label, so the
     same rows come every time and no label is gathered in one task. Null labels
-    are left out.
+    are left out; each other label has its share, however many there are.
     """
     rows = df.where(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
         return []
     draw = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == value, min(1.0, per_label / n)).otherwise(share)
-    few = rows.where(draw < share).limit(2 * per_label * len(counts)).collect()
+    kind = StructType([StructField(label, df.schema[label].dataType), StructField("__share", DoubleType())])
+    shares = df.sparkSession.createDataFrame([(value, min(1.0, per_label / n)) for value, n in counts.items()], kind)
+    few = rows.join(F.broadcast(shares), label).where(draw < F.col("__share")).select(df.columns).limit(2 * per_label * len(counts)).collect()
     return sorted(few, key=lambda r: str(tuple(r))[:200])
 
 

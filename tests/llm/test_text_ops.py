@@ -141,6 +141,12 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language.predict(odd, language.train(empty)).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text {i}", f"l{i % 230:03}") for i in range(2300)]
+    model = language.train(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"), sample=5)
+    assert model.langs == [f"l{k:03}" for k in range(230)]
+
+
 def test_scripts_narrow():
     m = language.Model(["en", "ru"], np.zeros(((1 << language.TABLE_BITS) + 1, 2), np.float32), np.zeros((len(language._GROUPS), 2), bool))
     m.allowed[language._GROUPS.index("latin"), 0] = m.allowed[language._GROUPS.index("cyrillic"), 1] = True
