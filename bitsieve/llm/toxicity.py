@@ -27,9 +27,8 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Labelled rows of each label that the grammar's weights are learned from.
 SAMPLE = 4000
-#: Lengths of stems, and how many are kept at most.
+#: Lengths of stems.
 STEM = (3, 10)
-MAX_STEMS = 400
 #: What a document that holds a kept stem counts for further ones.
 EXPLAINED = 0.1
 
@@ -230,8 +229,6 @@ def learn_stems(texts: list[str | None], labels: np.ndarray) -> dict[str, tuple[
             out[s] = (weight, clean)
             inner.update(s[:n] for n in range(STEM[0], len(s)))
             worth[holds[s]] = EXPLAINED
-        if len(out) == MAX_STEMS:
-            break
     return out
 
 
@@ -261,7 +258,7 @@ def score(df: DataFrame, scorer: Scorer, doc_id: str = "doc_id", text: str = "te
 
     Null and empty texts hold no clause and score as clean; rows that repeat an id
     are scored each; an empty table gives an empty table. Other columns are ignored.
-    The grammar, of bounded size, goes to the tasks.
+    The grammar, whose stems the labelled sample bounds, goes to the tasks.
     """
     shared = df.sparkSession.sparkContext.broadcast((scorer.stems, scorer.weights))
 

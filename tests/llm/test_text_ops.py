@@ -94,6 +94,14 @@ def test_filter_keeps_columns(spark, odd, empty, labels):
     assert toxicity.without_toxic(empty, scorer).count() == 0
 
 
+def test_every_stem_beyond_chance_is_learned():
+    words = ["".join(chr(97 + i // 26**k % 26) for k in (0, 1)) + "xqz" for i in range(450)]
+    toxic = [f"{w} {i}" for w in words for i in range(12)]
+    clean = [f"und {i}" for i in range(20_000)]
+    stems = toxicity.learn_stems(toxic + clean, np.array([1] * len(toxic) + [0] * len(clean)))
+    assert all(any(w.startswith(s) for s in stems) for w in words) and len(stems) > 400
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     import itertools
