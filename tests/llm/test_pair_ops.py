@@ -135,6 +135,17 @@ def test_keep_one_links_near_copies(spark, monkeypatch, block):
     assert sorted(r.text for r in minhash.keep_one(df).collect()) == sorted(rows[i][1] for i in brute_keep_one(rows))
 
 
+def test_keep_one_without_ids(spark):
+    """One row of each component, whichever of its rows have ids and whatever else the table holds."""
+    a, b, c = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    near = lambda t: t + " tail"
+    rows = [(1, a), (None, a), (None, near(a)), (None, b), (None, near(b))]
+    for more in ([], [(None, c)], [(7, c)]):
+        kept = minhash.keep_one(spark.createDataFrame(rows + more, "doc_id BIGINT, text STRING")).collect()
+        assert len(kept) == 2 + len(more) and [r.text for r in kept if r.doc_id == 1] == [a]
+        assert sum(r.text in (b, near(b)) for r in kept) == 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_forest(seed):
     rng = np.random.default_rng(seed)
