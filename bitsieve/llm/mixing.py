@@ -72,7 +72,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: rows with all columns of ``df``, each as often as it is taken.
 
-    A document that a budget cuts keeps its first words, single-spaced. Rows that
+    A document that a budget cuts keeps its first words, with their spacing. Rows that
     are equal in all columns share their copies.
     """
     mark = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
@@ -84,8 +84,9 @@ def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         both = both.union(marked.join(several, "__row").dropDuplicates(["__row"]).select(both.columns))
     copies = F.flatten(F.transform("__taken", lambda t: F.transform(F.sequence(F.lit(1), F.ceil(t / F.col("__size"))), lambda e: F.least(F.col("__size"), t - (e - 1) * F.col("__size")))))
     both = both.select(*[F.col(f"`{c}`") for c in df.columns], "__size", F.explode(copies).alias("__part"))
-    words = F.split(F.btrim(F.col(text), F.lit(SPACE_CHARS)), f"[{SPACE}]+")
-    short = F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), " ")
+    # The text up to the end of its last word that is taken.
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"([{SPACE}]*[^{SPACE}]+)"), F.lit(1))
+    short = F.array_join(F.slice(pieces, F.lit(1), F.col("__part").cast("int")), "")
     return both.withColumn(text, F.when(F.col("__part") >= F.col("__size"), F.col(text)).otherwise(short)).drop("__size", "__part")
 
 

@@ -287,6 +287,13 @@ def test_mixing_odd(spark, odd, empty):
     assert {s: n for s, n in got.items() if n} == {s: n for s, n in taken.items() if n}
 
 
+def test_mixed_keeps_spacing(spark):
+    rows = [(i, f"  one{i}\n\ttwo  three\n\n", "x" if i < 3 else "y") for i in range(8)]
+    out = mixing.mixed(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")).collect()
+    text = {i: t for i, t, _ in rows}
+    assert all(text[r.doc_id].startswith(r.text) for r in out) and any(r.text != text[r.doc_id] for r in out)
+
+
 def brute_links(rows):
     def ok(e):
         return e and None not in e and np.isfinite(e).all() and np.any(e)
