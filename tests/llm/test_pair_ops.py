@@ -83,7 +83,7 @@ def test_simhash(spark, documents, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 2: 1, None: 1, 3: 1, 6: 1, 7: 1, 8: 1, 9: 1, -5: 1, 2**62: 1}) or kept.where("doc_id = 1").count() == 1
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 2: 1, None: 1, 3: 1, 6: 1, 7: 1, 8: 1, 9: 1, -5: 1, 2**62: 1})
 
 
 def brute_jaccard(a, b):
@@ -367,3 +367,25 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).orderBy("start").collect()
     assert rows and rows[0].start == 0 and all(b.start == a.start + a.n_tokens and a.doc_id <= b.doc_id for a, b in zip(rows, rows[1:], strict=False))
     assert len(CLASH) > 10
+
+
+def test_stages_keep_the_rows_of_a_plain_version(spark, tmp_path):
+    """Kept ids of the stages that drop rows, on planted copies, insults and benchmark passages."""
+    import corpus_pipeline
+
+    from bitsieve.llm import toxicity
+
+    item = " ".join(f"q{i}" for i in range(40))
+    rows = [(i + 100 * (n // 83), t) for n, (i, t) in enumerate(planted_copies())]
+    rows += [(1000 + i, f"you worthless idiot m{i} go away k{i}") for i in range(60)] + [(2000 + i, f"a calm note m{i} about k{i}") for i in range(60)] + [(3000, "start " + item)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    d = str(tmp_path)
+    spark.createDataFrame([(i, 1, int(i < 2000)) for i, _ in rows if 1000 <= i < 3000], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING").write.parquet(f"{d}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda out: sorted(r.doc_id for r in out.select("doc_id").collect())
+    scorer = toxicity.train(df, spark.read.parquet(f"{d}/labels.parquet"))
+    clean = [i for i, t in rows if scorer.score(np.array([scorer.sums(t)]))[0] < toxicity.THRESHOLD]
+    assert ids(stages["toxicity"](spark, df, d)) == sorted(clean) and not [i for i in clean if 1000 <= i < 2000]
+    assert ids(stages["simhash"](spark, df, d)) == sorted(rows[i][0] for i in brute_keep_one(rows))
+    assert ids(stages["decontamination"](spark, df, d)) == sorted(i for i, _ in rows if i != 3000)
