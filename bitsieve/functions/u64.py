@@ -7,6 +7,7 @@ built, so the wrapping ones are built inside :func:`wrapping`, and only those.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 from decimal import Decimal
@@ -15,17 +16,27 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
+_building = threading.RLock()
 
 
 @contextmanager
 def wrapping(spark: SparkSession) -> Iterator[None]:
-    """DataFrames built inside wrap on overflow; the session's mode comes back afterwards."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    """DataFrames built inside wrap on overflow; the session's mode comes back afterwards.
+
+    Spark has no expression that wraps whatever the mode is, so the mode of the
+    session is off while a plan is put together (some milliseconds; nothing runs
+    in there). A lock keeps other threads of this library out. A plan that another
+    thread analyses through the same session in that moment isn't ANSI either: give
+    such threads a session of their own (``spark.newSession()``).
+    """
+    name = "spark.sql.ansi.enabled"
+    with _building:
+        before = spark.conf.get(name)
+        spark.conf.set(name, "false")
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before)
 
 
 def signed(x: int) -> int:

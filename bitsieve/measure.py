@@ -60,11 +60,12 @@ def measure(spark: SparkSession, variant: str, k: int, size2: int, n: int, ranks
     return rec.frame()
 
 
-def main(argv: list[str] | None = None) -> None:
+def main(argv: list[str] | None = None, show: bool = True) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session(a.cores, "measure")
     rows = measure(spark, a.type, a.hashes, a.size2, a.items, a.ranks)
-    rows.show(truncate=False)
+    if show:
+        rows.show(truncate=False)
     if a.log:
         append_measures(rows, a.log)
 

@@ -15,7 +15,7 @@ class Filter:
     """Immutable: inserting returns a new filter. Nothing runs until an answer is asked for."""
 
     def __init__(self, spark: SparkSession, spec: FilterSpec, words: DataFrame | None = None, dispatch=None) -> None:
-        self.spark, self.spec, self.dispatch = spark, spec, dispatch
+        self.spark, self.spec, self.dispatch, self.is_new = spark, spec, dispatch, words is None
         self.words = state.empty(spark) if words is None else words
 
     @classmethod
@@ -26,7 +26,7 @@ class Filter:
         return Filter(self.spark, self.spec, words, self.dispatch)
 
     def insert_bulk(self, df: DataFrame, item: str = "item") -> Filter:
-        return self._with(state.merge(self.words, state.build(df, item, self.spec, self.dispatch)))
+        return self._with(state.build(df, item, self.spec, self.dispatch, None if self.is_new else self.words))
 
     def insert(self, item: int) -> Filter:
         return self.insert_bulk(self._one(item))

@@ -14,6 +14,23 @@ from bitsieve.spec import BLOCKED, FLAT, SHARD_WINDOW_BITS, FilterSpec
 #: Prefix of the columns that with_positions adds and callers drop again.
 TEMP = "__bs_"
 SHARD = TEMP + "shard"
+ITEM = "item"
+
+
+def numbered(df: DataFrame, item: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ..., and the item as BIGINT last; and the names it had.
+
+    So no column that an operator adds meets one of the caller's, whatever it is called.
+    """
+    key = F.col(f"`{item}`" if item in df.columns else item).cast("bigint")
+    names = df.columns
+    return df.withColumn("__bs_in" + "_" * max(map(len, names), default=0), key).toDF(*[f"c{i}" for i in range(len(names))], ITEM), names
+
+
+def renamed(rows: DataFrame, names: list[str], last: str) -> DataFrame:
+    """The columns under the names they had, and ``last``, which takes the place of one of that name."""
+    kept = [(f"c{i}", n) for i, n in enumerate(names) if n != last]
+    return rows.select(*[c for c, _ in kept], F.col(TEMP + "out")).toDF(*[n for _, n in kept], last)
 
 
 def position_names(spec: FilterSpec) -> list[str]:
@@ -91,7 +108,7 @@ def with_bucket(df: DataFrame, item: str, spec: FilterSpec, out: str = "bucket",
     Filters of less than ``bits`` bits have a bucket for each position. Builds and probes
     don't need it, as their shuffles are by word; it serves own per-partition work.
     """
-    cols = [F.col(f"`{c}`") for c in df.columns if c != out]
-    first = position_names(spec)[0]
-    rows = with_positions(df, item, spec)
-    return rows.select(*cols, srl(F.col(first), max(0, spec.shard_size2 - bits)).cast("int").alias(out))
+    rows, names = numbered(df, item)
+    rows = with_positions(rows, ITEM, spec)
+    first = F.col(position_names(spec)[0])
+    return renamed(rows.withColumn(TEMP + "out", srl(first, max(0, spec.shard_size2 - bits)).cast("int")), names, out)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitsieve import measure
 from bitsieve.functions.hashing import mixing_table, seeds, string_key
 from bitsieve.operators import joins, probe, state
 from bitsieve.operators.filter import Filter
 from bitsieve.plans import report
 from bitsieve.plans.layout import SHARD, position_names, with_bucket, with_positions
 from bitsieve.session import shared_folder
-from bitsieve.sources import state_io
+from bitsieve.sources import measures, state_io
 from bitsieve.spec import FilterSpec, Variant
 
 FLAT16 = FilterSpec(Variant.SYNC_BASIC, 16, 4)
@@ -144,15 +146,24 @@ def _probe_sql(spec: FilterSpec) -> str:
     return f"SELECT hit, count(*) AS n_rows, sum(l_orderkey)::BIGINT AS key_sum FROM (SELECT l_orderkey, l_orderkey IN (SELECT item FROM ({hits})) AS hit FROM lineitem) GROUP BY hit"
 
 
-def _no_false_negatives(spec: FilterSpec):
+def _no_false_negatives(spec: FilterSpec, strategy: str = "auto"):
+    """Members and others together: how many of either the filter seems to hold."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
         words = state.build(members(spark, d), "item", spec)
-        rows = probe.contains(members(spark, d), "item", words, spec)
-        return rows.agg(F.count("*").alias("n"), F.count_if(~F.col("hit")).alias("missed"))
+        orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_orderdate") < F.lit(CUT).cast("timestamp")).alias("member"))
+        return probe.contains(orders, "item", words, spec, strategy=strategy).groupBy("member").agg(F.count("*").alias("n"), F.count_if(~F.col("hit")).alias("missed"))
 
     return run
 
 
+def _no_false_negatives_sql(spec: FilterSpec) -> str:
+    """Members have no miss by definition; what the others miss follows from the bits."""
+    hits = sql_hits(MEMBERS_SQL, "o_orderkey", "SELECT o_orderkey FROM orders", "o_orderkey", spec)
+    member = f"o_orderdate < TIMESTAMP '{CUT} 00:00:00'"
+    return f"SELECT {member} AS member, count(*) AS n, count(*) FILTER (WHERE NOT ({member}) AND o_orderkey NOT IN (SELECT item FROM ({hits}))) AS missed FROM orders GROUP BY 1"
+
+
 def _fpr(spec: FilterSpec, strategy: str = "auto"):
     def run(spark: SparkSession, d: str) -> DataFrame:
         words = state.build(members(spark, d), "item", spec)
@@ -243,8 +254,8 @@ def roundtrip_weight(spark: SparkSession, d: str) -> DataFrame:
 
 def saved_weight(spark: SparkSession, d: str) -> DataFrame:
     """Saved to the shared folder and loaded again."""
-    path = f"{shared_folder(spark)}/saved_filter"
-    Filter(spark, FLAT20).insert_bulk(table(spark, d, "part"), "p_partkey").save(path, "overwrite")
+    path = f"{shared_folder(spark)}/saved_filter/{uuid.uuid4().hex}"
+    Filter(spark, FLAT20).insert_bulk(table(spark, d, "part"), "p_partkey").save(path)
     f = Filter.load(spark, path, FLAT20)
     return state.weight(f.words, f.spec)
 
@@ -265,9 +276,10 @@ def perf_report_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def string_key_filter(spark: SparkSession, d: str) -> DataFrame:
-    """URLs as keys: all pages are members, so none may be missed."""
-    pages = table(spark, d, "pages").select("url", string_key(F.col("url")).alias("item"))
-    rows = probe.contains(pages, "item", state.build(pages, "item", FLAT20), FLAT20)
+    """URLs as keys, those of even pages as members; at 2^24 bits the rate of false positives is below 10^-9."""
+    spec = FilterSpec(Variant.SYNC_BASIC, 24, 8)
+    pages = table(spark, d, "pages").select("page_id", "url", string_key(F.col("url")).alias("item"))
+    rows = probe.contains(pages, "item", state.build(pages.where("page_id % 2 = 0"), "item", spec), spec)
     return rows.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 
@@ -283,6 +295,218 @@ def _fpr_events_sql() -> str:
     return f"SELECT count(*) AS n, count(h.item) AS hits, avg((h.item IS NOT NULL)::INT::DOUBLE) AS fpr FROM ({others}) o LEFT JOIN ({hits}) h ON o.k = h.item"
 
 
+def _specs(rows: list[tuple[str, int, int, int, int]]) -> list[tuple]:
+    """(variant, size2, nb_hash, nb_threads, nb_ranks) of each, and whether such a filter can be made."""
+    out = []
+    for variant, size2, k, threads, ranks in rows:
+        try:
+            FilterSpec(Variant(variant), size2, k, threads, nb_ranks=ranks)
+            out.append((variant, size2, k, threads, ranks, True))
+        except ValueError:
+            out.append((variant, size2, k, threads, ranks, False))
+    return out
+
+
+def create_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Which parameters a filter can be created with, by size, hashes, threads and ranks."""
+    rows = [(v.value, size2, k, threads, ranks) for v in Variant for size2 in (2, 3, 9, 12, 16, 24, 33, 34, 62, 63) for k in (0, 1, 8, 9, 10, 63, 64) for threads in (1, 8) for ranks in (0, 1, 8)]
+    return spark.createDataFrame(_specs(rows), "variant STRING, size2 INT, nb_hash INT, nb_threads INT, nb_ranks INT, ok BOOLEAN")
+
+
+CREATE_CHECKS_SQL = """
+WITH p AS (SELECT * FROM (VALUES ('SYNC_BASIC'), ('BASIC'), ('SYNC_CACHE'), ('CACHE'), ('PIM')) v(variant), (VALUES (2), (3), (9), (12), (16), (24), (33), (34), (62), (63)) s(size2),
+  (VALUES (0), (1), (8), (9), (10), (63), (64)) k(nb_hash), (VALUES (1), (8)) t(nb_threads), (VALUES (0), (1), (8)) r(nb_ranks))
+SELECT variant, size2, nb_hash, nb_threads, nb_ranks, size2 BETWEEN 3 AND 62 AND nb_hash >= 1 AND CASE WHEN variant = 'PIM'
+  THEN nb_ranks >= 1 AND nb_hash <= 63 AND size2 >= 3 + ceil(log2(greatest(nb_ranks, 1) * 1024)) AND size2 <= 21 + floor(log2(greatest(nb_ranks, 1) * 1024))
+  ELSE nb_hash < 10 AND (nb_threads = 1 OR variant LIKE 'SYNC%') END AS ok FROM p
+"""
+
+
+def factory_threads(spark: SparkSession, d: str) -> DataFrame:
+    """What the factory makes of a name and a number of threads: single-thread variants are given one."""
+    import warnings
+
+    rows = []
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        for v in Variant:
+            for threads in (1, 2, 8):
+                spec = FilterSpec.create(v.value, 24, 4, threads, nb_ranks=2)
+                rows.append((v.value, threads, spec.nb_threads, spec.layout, spec.nb_hash, spec.nb_shards))
+    return spark.createDataFrame(rows, "variant STRING, asked INT, nb_threads INT, layout STRING, nb_hash INT, nb_shards INT")
+
+
+FACTORY_SQL = """
+SELECT variant, asked, CASE WHEN variant IN ('BASIC', 'CACHE') THEN 1 ELSE asked END AS nb_threads,
+  CASE WHEN variant LIKE '%BASIC' THEN 'flat' WHEN variant LIKE '%CACHE' THEN 'blocked' ELSE 'sharded' END AS layout, 4 AS nb_hash, CASE WHEN variant = 'PIM' THEN 2 * 64 * 16 ELSE 1 END AS nb_shards
+FROM (VALUES ('SYNC_BASIC'), ('BASIC'), ('SYNC_CACHE'), ('CACHE'), ('PIM')) v(variant), (VALUES (1), (2), (8)) t(asked)
+"""
+
+
+def number_of_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The number of hash functions that a filter reports is the most bits that one item sets."""
+    rows = [(v.value, k, f.nb_hash, f.insert(4711).weight()) for v in (Variant.SYNC_BASIC, Variant.PIM) for k in (1, 4, 8) for f in [Filter.create(spark, v, 24, k, nb_ranks=8)]]
+    return spark.createDataFrame(rows, "variant STRING, k INT, nb_hash INT, weight BIGINT")
+
+
+def _number_of_hashes_sql() -> str:
+    one = "SELECT 4711 AS i"
+    part = lambda v, k: f"SELECT '{v.value}' AS variant, {k} AS k, {k} AS nb_hash, count(*) AS weight FROM ({sql_bits(one, 'i', FilterSpec(v, 24, k, nb_ranks=8))})"
+    return " UNION ALL ".join(part(v, k) for v in (Variant.SYNC_BASIC, Variant.PIM) for k in (1, 4, 8))
+
+
+def topology(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks and units of sharded filters, and how many units hold bits of the parts."""
+    rows = []
+    for ranks in (1, 2, 8):
+        f = Filter.create(spark, Variant.PIM, 24, 4, nb_ranks=ranks).insert_bulk(table(spark, d, "part"), "p_partkey")
+        used = f.weight_by_shard().select(F.floor(F.col("shard") / f.spec.nb_subshards)).distinct().count()
+        rows.append((f.topology["nb_ranks"], f.topology["units_per_rank"], f.topology["nb_units"], used))
+    return spark.createDataFrame(rows, "nb_ranks INT, units_per_rank INT, nb_units INT, used BIGINT")
+
+
+def _topology_sql() -> str:
+    part = lambda r: f"SELECT {r} AS nb_ranks, 64 AS units_per_rank, {64 * r} AS nb_units, count(DISTINCT shard // 16) AS used FROM ({_bits_of('part', 'p_partkey', FilterSpec(Variant.PIM, 24, 4, nb_ranks=r))})"
+    return " UNION ALL ".join(map(part, (1, 2, 8)))
+
+
+def destroyed_weight(spark: SparkSession, d: str) -> DataFrame:
+    """A filter that was kept in memory and let go of: what it held can still be computed, and nothing stays cached."""
+    f = Filter(spark, FLAT16).insert_bulk(table(spark, d, "part"), "p_partkey").persist()
+    before = f.weight()
+    f.unpersist()
+    level = f.words.storageLevel
+    return spark.createDataFrame([(before, f.weight(), level.useMemory or level.useDisk)], "before BIGINT, after BIGINT, cached BOOLEAN")
+
+
+#: Keys that are put in, and asked for, one at a time.
+SINGLES, ASKED = (3, 5, 70_000, 123_456_789), (3, 4, 5, 6, 70_000, 70_001, 123_456_789)
+TINY = FilterSpec(Variant.SYNC_CACHE, 6, 2)
+
+
+def single_items(spark: SparkSession, d: str) -> DataFrame:
+    """One item at a time in and out, in a filter so small that some that aren't in it seem to be."""
+    f = Filter(spark, TINY)
+    for x in SINGLES:
+        f = f.insert(x)
+    f = f.persist()
+    rows = [(x, f.contains(x)) for x in ASKED]
+    f.unpersist()
+    return spark.createDataFrame(rows, "item BIGINT, hit BOOLEAN")
+
+
+def _single_items_sql() -> str:
+    values = lambda xs: "SELECT unnest([" + ", ".join(map(str, xs)) + "])::BIGINT AS i"
+    return f"SELECT i AS item, i IN (SELECT item FROM ({sql_hits(values(SINGLES), 'i', values(ASKED), 'i', TINY)})) AS hit FROM ({values(ASKED)})"
+
+
+def sharded_export(spark: SparkSession, d: str) -> DataFrame:
+    """The exported bytes of a sharded filter that aren't zero."""
+    data = state_io.to_bytes(state.build(table(spark, d, "part"), "p_partkey", SHARDED24), SHARDED24)
+    pairs = F.posexplode(F.sequence(F.lit(0), F.length("data") - 1)).alias("at", "i")
+    rows = data.select("shard", "chunk", "data", pairs).select("shard", (F.col("chunk") * state_io.CHUNK_BYTES + F.col("at")).alias("at"), F.conv(F.hex(F.substring("data", F.col("i") + 1, F.lit(1))), 16, 10).cast("int").alias("byte"))
+    return rows.where("byte <> 0")
+
+
+def sharded_import(spark: SparkSession, d: str) -> DataFrame:
+    """Bits of a sharded filter after export and import: their number and the sum of their places, by shard."""
+    words = state.build(table(spark, d, "customer"), "c_custkey", SHARDED24)
+    back = state_io.from_bytes(state_io.to_bytes(words, SHARDED24), SHARDED24)
+    bits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", F.col("word"), b) == 1))
+    return back.select("shard", "word_idx", bits.alias("b")).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.col("word_idx") * 64 + F.col("b")).alias("places"))
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as measurements of 1 to 50 seconds."""
+    rows = table(spark, d, "lineitem")
+    return rows.select(F.col("l_quantity").alias("duration"), F.when(F.col("l_returnflag") == "R", "fpr").otherwise("insert").alias("id"), F.col("l_linenumber").alias("k"), (F.col("l_orderkey") % 5).cast("int").alias("size2"), F.lit(1000).cast("bigint").alias("nb_items"))
+
+
+MEASURED_SQL = "SELECT l_quantity AS duration, CASE WHEN l_returnflag = 'R' THEN 'fpr' ELSE 'insert' END AS id, l_linenumber AS k, (l_orderkey % 5)::INT AS size2, 1000::BIGINT AS nb_items FROM lineitem"
+
+
+def measures_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Appended to a CSV folder without a header twice, and read under the schema."""
+    path = f"{shared_folder(spark)}/measures/{uuid.uuid4().hex}"
+    for ident in ("fpr", "insert"):
+        measures.append_measures(_measured(spark, d).where(F.col("id") == ident), path)
+    return measures.read_measures(spark, path, measures.BLOCKED_SCHEMA).groupBy("id", "k", "size2", "nb_items").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _measured(spark, d)
+    sharded = rows.where("duration > 10").withColumn("nb_ranks", F.when(F.col("duration") % 2 == 0, 6).otherwise(8))
+    return report.compare(sharded, rows)
+
+
+REPORT_SQL = (
+    f"WITH r AS ({MEASURED_SQL}), a AS (SELECT id, k, size2, nb_items, CASE WHEN duration % 2 = 0 THEN 6 ELSE 8 END AS nb_ranks, avg(duration) AS sharded FROM r WHERE duration > 10 GROUP BY ALL), "
+    "b AS (SELECT id, k, size2, nb_items, avg(duration) AS blocked FROM r GROUP BY ALL) "
+)
+
+
+def report_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The slice of rates, without the speedup, which means nothing for them."""
+    return report.slice_of(_report(spark, d), "fpr")
+
+
+def report_formatted(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds and rates as text."""
+    rows, names = _report(spark, d), ["id", "k", "size2", "nb_items", "nb_ranks", "sharded", "blocked"]
+    return report.formatted(rows, "insert").select(names).union(report.formatted(rows, "fpr").select(names))
+
+
+def report_clipped(spark: SparkSession, d: str) -> DataFrame:
+    return report.clipped(report.slice_of(_report(spark, d), "insert"), "speedup", 0.8, 0.95)
+
+
+def sequence_items(spark: SparkSession, d: str) -> DataFrame:
+    return measures.sequence(spark, 1000, 500)
+
+
+def shuffled_items(spark: SparkSession, d: str) -> DataFrame:
+    """Keys in the order that the seed fixes, with their places."""
+    rows = measures.shuffled(measures.sequence(spark, 2000, 7), 42).withColumn("at", F.monotonically_increasing_id())
+    from pyspark.sql import Window
+
+    return rows.select("item", F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
+def timed_actions(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each timed action and each value, under the parameters; the time itself is only known not to be negative."""
+    rec = measures.Recorder(spark, k=4, size2=16, nb_items=table(spark, d, "part").count())
+    with rec.timed("insert"):
+        f = Filter(spark, FLAT16).insert_bulk(table(spark, d, "part"), "p_partkey")
+        weight = f.weight()
+    rec.value("weight", weight)
+    value = F.when(F.col("id") == "insert", F.least("duration", F.lit(0.0))).otherwise(F.col("duration"))
+    return rec.frame().select("id", "k", "size2", "nb_items", value.alias("value"))
+
+
+def measured_by_command(spark: SparkSession, d: str) -> DataFrame:
+    """The command line's measurements, appended to a CSV: one row for each figure, and the rate of false positives."""
+    path = f"{shared_folder(spark)}/measures/{uuid.uuid4().hex}"
+    measure.main(["-t", "SYNC_CACHE", "-k", "2", "-m", "12", "-n", "300", "-l", path], show=False)
+    rows = measures.read_measures(spark, path, measures.BLOCKED_SCHEMA)
+    return rows.select("id", "k", "size2", "nb_items", F.when(F.col("id") == "fpr", F.round("duration", 9)).alias("rate"))
+
+
+def _measured_by_command_sql() -> str:
+    spec = FilterSpec(Variant.SYNC_CACHE, 12, 2)
+    others = "SELECT unnest(range(300, 100300)) AS i"
+    hits = sql_hits("SELECT unnest(range(300)) AS i", "i", others, "i", spec)
+    names = ", ".join(f"('{n}')" for n in ("init", "insert", "weight", "lookup", "get_data", "set_data", "fpr"))
+    return f"SELECT id, 2 AS k, 12 AS size2, 300::BIGINT AS nb_items, CASE WHEN id = 'fpr' THEN round((SELECT count(*) FROM ({hits})) / 100000, 9) END AS rate FROM (VALUES {names}) v(id)"
+
+
+def merged_export(spark: SparkSession, d: str) -> DataFrame:
+    """A filter that was written and read, and more items put into it after that."""
+    path = f"{shared_folder(spark)}/saved_filter/{uuid.uuid4().hex}"
+    Filter(spark, FLAT16).insert_bulk(table(spark, d, "part"), "p_partkey").save(path)
+    f = Filter.load(spark, path, FLAT16).insert_bulk(table(spark, d, "supplier"), "s_suppkey")
+    return state.weight(f.words, f.spec)
+
+
 def _bits_of(t: str, c: str, spec: FilterSpec) -> str:
     return sql_bits(f"SELECT {c} FROM {t}", c, spec)
 
@@ -292,7 +516,6 @@ def catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     semi = sql_hits(MEMBERS_SQL, "o_orderkey", "SELECT l_orderkey FROM lineitem", "l_orderkey", FLAT16)
     flag = "SELECT l_returnflag, count(*) AS n_rows, sum(l_linenumber)::BIGINT AS line_sum FROM lineitem WHERE l_orderkey {} (SELECT item FROM ({})) GROUP BY 1"
     part = _bits_of("part", "p_partkey", FLAT16)
-    none_missed = "SELECT count(*) AS n, 0::BIGINT AS missed FROM (" + MEMBERS_SQL + ")"
     out = {
         "flat_weight_orders": (_weight(FLAT16), _weight_sql(FLAT16)),
         "flat_weight_k8": (_weight(FLAT20), _weight_sql(FLAT20)),
@@ -305,9 +528,9 @@ def catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "blocked_probe_join": (_probe(BLOCKED20, "join"), _probe_sql(BLOCKED20)),
         "sharded_probe": (_probe(SHARDED20), _probe_sql(SHARDED20)),
         "sharded_probe_join": (_probe(SHARDED24, "join"), _probe_sql(SHARDED24)),
-        "no_false_negatives": (_no_false_negatives(FLAT16), none_missed),
-        "no_false_negatives_blocked": (_no_false_negatives(BLOCKED16), none_missed),
-        "no_false_negatives_sharded": (_no_false_negatives(SHARDED20), none_missed),
+        "no_false_negatives": (_no_false_negatives(FLAT16), _no_false_negatives_sql(FLAT16)),
+        "no_false_negatives_blocked": (_no_false_negatives(BLOCKED16), _no_false_negatives_sql(BLOCKED16)),
+        "no_false_negatives_sharded": (_no_false_negatives(SHARDED20), _no_false_negatives_sql(SHARDED20)),
         "fpr_flat": (_fpr(FLAT16), _fpr_sql(FLAT16)),
         "fpr_blocked": (_fpr(BLOCKED16), _fpr_sql(BLOCKED16)),
         "fpr_sharded": (_fpr(SHARDED20), _fpr_sql(SHARDED20)),
@@ -334,6 +557,30 @@ def catalogue() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
             "a AS (SELECT id, k, size2, nb_items, nb_ranks, avg(duration) AS sharded FROM r GROUP BY ALL), b AS (SELECT id, k, size2, nb_items, avg(duration) AS blocked FROM r WHERE l_returnflag = 'R' GROUP BY ALL) "
             "SELECT a.*, b.blocked, b.blocked / nullif(a.sharded, 0) AS speedup FROM a LEFT JOIN b USING (id, k, size2, nb_items)",
         ),
-        "string_key_filter": (string_key_filter, "SELECT count(*) AS n, count(*) AS hits FROM pages"),
+        "string_key_filter": (string_key_filter, "SELECT count(*) AS n, count(*) FILTER (WHERE url IN (SELECT url FROM pages WHERE page_id % 2 = 0)) AS hits FROM pages"),
+        "create_checks": (create_checks, CREATE_CHECKS_SQL),
+        "factory_threads": (factory_threads, FACTORY_SQL),
+        "number_of_hashes": (number_of_hashes, _number_of_hashes_sql()),
+        "topology": (topology, _topology_sql()),
+        "destroyed_weight": (destroyed_weight, f"SELECT count(*) AS before, count(*) AS after, false AS cached FROM ({part})"),
+        "single_items": (single_items, _single_items_sql()),
+        "sharded_export": (sharded_export, f"SELECT shard::INT AS shard, (p // 8)::BIGINT AS at, sum(1 << (p % 8)::INT)::INT AS byte FROM ({_bits_of('part', 'p_partkey', SHARDED24)}) GROUP BY 1, 2"),
+        "sharded_import": (sharded_import, f"SELECT shard::INT AS shard, count(*) AS n, sum(p)::BIGINT AS places FROM ({_bits_of('customer', 'c_custkey', SHARDED24)}) GROUP BY 1"),
+        "measures_csv": (measures_csv, f"SELECT id, k, size2, nb_items, count(*) AS n, sum(duration) AS total FROM ({MEASURED_SQL}) GROUP BY ALL"),
+        "report_rates": (report_rates, REPORT_SQL + "SELECT a.*, b.blocked FROM a LEFT JOIN b USING (id, k, size2, nb_items) WHERE id = 'fpr'"),
+        "report_formatted": (
+            report_formatted,
+            REPORT_SQL + "SELECT id, k, size2, nb_items, nb_ranks, CASE WHEN id = 'fpr' THEN format('{:.5f}', sharded) ELSE format('{:.3f} s', sharded) END AS sharded, "
+            "CASE WHEN id = 'fpr' THEN format('{:.5f}', blocked) ELSE format('{:.3f} s', blocked) END AS blocked FROM a LEFT JOIN b USING (id, k, size2, nb_items)",
+        ),
+        "report_clipped": (report_clipped, REPORT_SQL + "SELECT a.*, b.blocked, least(greatest(b.blocked / nullif(a.sharded, 0), 0.8), 0.95) AS speedup FROM a LEFT JOIN b USING (id, k, size2, nb_items) WHERE id = 'insert'"),
+        "sequence_items": (sequence_items, "SELECT unnest(range(500, 1500))::BIGINT AS item"),
+        "shuffled_items": (shuffled_items, "SELECT i AS item, row_number() OVER (ORDER BY md5('42:' || i))::INT AS place FROM (SELECT unnest(range(7, 2007))::BIGINT AS i)"),
+        "timed_actions": (timed_actions, f"SELECT id, 4::BIGINT AS k, 16::BIGINT AS size2, (SELECT count(*) FROM part) AS nb_items, CASE WHEN id = 'insert' THEN 0.0::DOUBLE ELSE (SELECT count(*) FROM ({part}))::DOUBLE END AS value FROM (VALUES ('insert'), ('weight')) v(id)"),
+        "measured_by_command": (measured_by_command, _measured_by_command_sql()),
+        "flat_probe_chunks": (_no_false_negatives(FLAT16, "chunks"), _no_false_negatives_sql(FLAT16)),
+        "blocked_probe_chunks": (_no_false_negatives(BLOCKED16, "chunks"), _no_false_negatives_sql(BLOCKED16)),
+        "sharded_probe_chunks": (_no_false_negatives(SHARDED20, "chunks"), _no_false_negatives_sql(SHARDED20)),
+        "merged_export": (merged_export, f"SELECT count(*) AS weight FROM (({part}) UNION ({_bits_of('supplier', 's_suppkey', FLAT16)}))"),
     }
     return out

@@ -47,5 +47,6 @@ def sequence(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
 
 
 def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows in a pseudo-random order that the seed fixes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns))
+    """The rows in a pseudo-random order that the seed fixes; any column may be null."""
+    values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *values).cast("binary")))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitsieve.operators.state import CHUNK_WORDS, chunks, chunks_per_shard
 from bitsieve.spec import SPEC_SCHEMA, FilterSpec
 
-#: Bytes in one row of the binary export: the size of a bitmap bucket.
-CHUNK_BYTES = 4096
-CHUNK_WORDS = CHUNK_BYTES // 8
+#: Bytes in one row of the binary export.
+CHUNK_BYTES = CHUNK_WORDS * 8
 
 
 def save(state: DataFrame, spec: FilterSpec, path: str, mode: str = "errorifexists") -> None:
@@ -32,17 +36,33 @@ def to_bytes(state: DataFrame, spec: FilterSpec) -> DataFrame:
     Chunks of 4096 bytes; those without a bit set are left out. Sort by shard and
     chunk for the order of a flat file.
     """
-    bits = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.when(F.call_function("getbit", F.col("word"), b) == 1, F.col("word_idx") * 64 + b)), lambda p: p.isNotNull()))
-    rows = state.select("shard", bits.alias("pos"))
-    p = F.col("pos") + 1
-    rows = rows.select("shard", (F.bitmap_bucket_number(p) - 1).alias("chunk"), F.bitmap_bit_position(p).alias("at"))
-    return rows.groupBy("shard", "chunk").agg(F.bitmap_construct_agg("at").alias("data"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+            rows = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["chunk", "data"])
+
+    n = F.lit(chunks_per_shard(spec)).cast("bigint")
+    rows = chunks(state, spec).mapInArrow(pack, "chunk BIGINT, data BINARY")
+    return rows.select(F.floor(F.col("chunk") / n).cast("int").alias("shard"), (F.col("chunk") % n).alias("chunk"), "data")
 
 
 def from_bytes(data: DataFrame, spec: FilterSpec) -> DataFrame:
     """Inverse of :func:`to_bytes`; bytes past the filter's end are refused by an error at run time."""
-    word = F.expr("conv(concat_ws('', transform(sequence(7, 0, -1), b -> hex(substring(data, i * 8 + b + 1, 1)))), 16, -10)").cast("bigint")
-    rows = data.select("shard", "chunk", "data", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_WORDS - 1))).alias("i"))
-    rows = rows.select("shard", (F.col("chunk") * CHUNK_WORDS + F.col("i")).alias("word_idx"), word.alias("word")).where("word <> 0")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shards, numbers, words = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for shard, chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                raw = raw.as_py()
+                word = np.frombuffer(raw + bytes(-len(raw) % 8), "<i8")
+                at = np.flatnonzero(word)
+                shards.append(np.full(len(at), shard, np.int32))
+                numbers.append(at + chunk * CHUNK_WORDS)
+                words.append(word[at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shards, numbers, words)], names=["shard", "word_idx", "word"])
+
+    rows = data.select("shard", "chunk", "data").mapInArrow(unpack, "shard INT, word_idx BIGINT, word BIGINT")
     ok = F.col("word_idx") < spec.words_per_shard
     return rows.select("shard", F.when(ok, F.col("word_idx")).otherwise(F.raise_error("the data is longer than the filter").cast("bigint")).alias("word_idx"), "word")
