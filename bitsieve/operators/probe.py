@@ -13,8 +13,8 @@ from bitsieve.spec import BLOCKED, FLAT, SHARD_WINDOW_BITS, FilterSpec
 
 #: Largest filter whose words are one array in every task: 2^25 bits are 4 MB.
 BROADCAST_BITS = 1 << 25
-#: Largest filter whose chunks are broadcast to executors: 2^30 bits are 128 MB.
-CHUNK_BROADCAST_BITS = 1 << 30
+#: Largest filter whose chunks are broadcast to executors: 2^30 bits, which are 128 MB, and an eighth for shards' windows.
+CHUNK_BROADCAST_BITS = 9 << 27
 HIT = "hit"
 #: Words beyond a chunk's end that an item whose first bit is in the chunk may reach.
 OVERHANG = {FLAT: 0, BLOCKED: 1, "sharded": SHARD_WINDOW_BITS // 64}

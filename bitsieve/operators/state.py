@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitsieve.functions.u64 import srl
 from bitsieve.plans.layout import SHARD, with_positions, word_masks
 from bitsieve.spec import FilterSpec
 
 STATE_SCHEMA = "shard INT, word_idx BIGINT, word BIGINT"
-#: Words in one chunk: 4 KB.
-CHUNK_WORDS = 512
+#: Words in one chunk, and their logarithm: 4 KB.
+CHUNK_WORDS, CHUNK_SHIFT = 512, 9
 
 
 def empty(spark: SparkSession) -> DataFrame:
@@ -82,7 +83,7 @@ def chunks_per_shard(spec: FilterSpec) -> int:
 
 def chunk_number(shard: Column, word_idx: Column, spec: FilterSpec) -> Column:
     """Number of a word's chunk among those of all shards."""
-    return shard.cast("bigint") * F.lit(chunks_per_shard(spec)).cast("bigint") + F.floor(word_idx / CHUNK_WORDS)
+    return shard.cast("bigint") * F.lit(chunks_per_shard(spec)).cast("bigint") + srl(word_idx, CHUNK_SHIFT)
 
 
 def chunks(state: DataFrame, spec: FilterSpec, overhang: int = 0) -> DataFrame:

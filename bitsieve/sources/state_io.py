@@ -43,9 +43,9 @@ def to_bytes(state: DataFrame, spec: FilterSpec) -> DataFrame:
             rows = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["chunk", "data"])
 
-    n = F.lit(chunks_per_shard(spec)).cast("bigint")
+    n = chunks_per_shard(spec)
     rows = chunks(state, spec).mapInArrow(pack, "chunk BIGINT, data BINARY")
-    return rows.select(F.floor(F.col("chunk") / n).cast("int").alias("shard"), (F.col("chunk") % n).alias("chunk"), "data")
+    return rows.select(F.expr(f"CAST(chunk DIV {n} AS INT)").alias("shard"), (F.col("chunk") % n).cast("bigint").alias("chunk"), "data")
 
 
 def from_bytes(data: DataFrame, spec: FilterSpec) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from bitsieve import FilterSpec, measure, queries
+from bitsieve import Filter, FilterSpec, measure, queries
 from bitsieve.plans import report
 from bitsieve.sources import measures
 from bitsieve.streaming import ingest
@@ -39,15 +39,21 @@ def test_measure(spark, tmp_path, kind, columns):
     assert {r.id for r in rows.collect()} == {"init", "insert", "weight", "lookup", "get_data", "set_data", "fpr"} and len(rows.columns) == columns
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, tmp_path, monkeypatch):
+    """Every batch's items are found at any time, and old states go."""
+    monkeypatch.setattr(ingest, "COMPACT", 2)
     spec = FilterSpec("SYNC_BASIC", 16, 4)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for part in range(2):
+    assert ingest.latest(spark, out, spec).weight() == 0
+    for part in range(5):
         spark.range(part * 100, part * 100 + 100).withColumnRenamed("id", "item").coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema("item BIGINT").parquet(src)
         ingest.ingest(stream, "item", spec, out, str(tmp_path / "ck")).awaitTermination(60)
-    f = ingest.latest(spark, out, spec)
-    assert f.true_count(spark.range(200), "id") == 200 and ingest.versions(spark, out)
+        n = (part + 1) * 100
+        assert ingest.latest(spark, out, spec).true_count(spark.range(n), "id") == n
+    assert ingest.versions(spark, out, "v") == [2, 4] and ingest.versions(spark, out, "d") == [2, 3, 4, 5]
+    whole = ingest.latest(spark, out, spec)
+    assert whole.weight() == Filter(spark, spec).insert_bulk(spark.range(500), "id").weight()
 
 
 @pytest.mark.parametrize("name", list(queries.catalogue()))
