@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import fold, table, whole_texts
-from bitsieve.llm.learn import stratified
+from bitsieve.llm.common import fold, table, texts
+from bitsieve.llm.learn import PARTS, stratified
 
 FOLDS, HELD_OUT = 5, 0
 #: Texts of each language that are learned from.
@@ -167,21 +167,42 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return np.array(path[::-1])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, text) -> (lang, counts of slots, letters by script), packed, of all the task's rows."""
+    found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for b in batches:
+        for lang, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+            counts, seen = found.setdefault(lang, (np.zeros(1 << TABLE_BITS, np.int64), np.zeros(len(_GROUPS), np.int64)))
+            cp = coded(text)
+            for slot in grams(cp)[1]:
+                counts += np.bincount(slot, minlength=len(counts) + 1)[: len(counts)]
+            seen += np.bincount(script_of(cp[cp > 0]), minlength=len(_GROUPS))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *[pa.array([v[i].astype("<i8").tobytes() for v in found.values()], pa.binary()) for i in (0, 1)]], names=["lang", "counts", "seen"])
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """Of each language, the sums."""
+    sums = [sum(np.frombuffer(x.as_py(), "<i8") for x in rows.column(i)) for i in (1, 2)]
+    return pa.table({"lang": rows.column(0)[:1], **{n: pa.array([v.tobytes()], pa.binary()) for n, v in zip(("counts", "seen"), sums, strict=True)}})
+
+
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn from ``sample`` texts or so of each language, outside the held-out fold.
 
-    Every language is learned, so the model grows with their number. Without labelled rows the model knows no language.
+    The tasks count n-grams; the driver gets a table for each language, which is the
+    model's size. Every language is learned, so the model grows with their number.
+    Without labelled rows the model knows no language.
     """
-    rows = df.select(F.col(doc_id).alias("k"), F.col(text).alias("t"), F.col(lang).alias("y")).where((fold(F.col("k"), FOLDS) != HELD_OUT) & F.col("t").isNotNull())
-    few = stratified(rows, "y", sample, F.col("k"))
-    langs = sorted({r.y for r in few})
+    rows = df.select(F.col(doc_id).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("y")).where((fold(F.col("k"), FOLDS) != HELD_OUT) & F.col("t").isNotNull())
+    kind = "lang STRING, counts BINARY, seen BINARY"
+    counted = stratified(rows, "y", sample, F.col("k")).select("y", "t").repartition(PARTS).mapInArrow(_counts, kind)
+    found = {r.lang: r for r in counted.groupBy("lang").applyInArrow(_added, kind).collect()}
+    langs = sorted(found)
     counts = np.full((1 << TABLE_BITS, len(langs)), SMOOTH)
     seen = np.zeros((len(_GROUPS), len(langs)))
-    for r in few:
-        k, cp = langs.index(r.y), coded(r.t)
-        for slot in grams(cp)[1]:
-            counts[:, k] += np.bincount(slot, minlength=len(counts))[: len(counts)]
-        seen[:, k] += np.bincount(script_of(cp[cp > 0]), minlength=len(_GROUPS))
+    for k, name in enumerate(langs):
+        counts[:, k] += np.frombuffer(found[name].counts, "<i8")
+        seen[:, k] += np.frombuffer(found[name].seen, "<i8")
     logp = np.log(counts / counts.sum(0)) if langs else counts
     # A script counts as a language's own if it holds a hundredth of its letters.
     allowed = seen >= 0.01 * np.maximum(seen.sum(0), 1)
@@ -194,7 +215,8 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     Null texts and those without a letter are ``und`` with score 0; rows that repeat
     an id are judged each; ties go to the language first by name; an empty table gives
-    an empty table. Other columns are ignored. The model (2^16 slots a language) goes to the tasks.
+    an empty table; bytes that aren't UTF-8 are no letters; texts of any length are labelled
+    whole. Other columns are ignored. The model (2^16 slots a language) goes to the tasks.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("lang", pa.string())]))
@@ -202,14 +224,14 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found = [m.label(t.as_py()) for t in b.column(1)]
+            found = [m.label(t) for t in texts(b.column(1))]
             cols = [b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             if spans:
                 cols.append(pa.array([[{"first_word": x, "end_word": y, "lang": z} for x, y, z in f[2]] for f in found], kind))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "spans"][: len(cols)])
 
     schema = "doc_id BIGINT, lang_pred STRING, score DOUBLE" + (", spans ARRAY<STRUCT<first_word: BIGINT, end_word: BIGINT, lang: STRING>>" if spans else "")
-    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def op4_language(spark: SparkSession, d: str) -> DataFrame:

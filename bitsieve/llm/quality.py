@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import fold, table, whole_texts
+from bitsieve.llm.common import as_bytes, fold, raw, table
 from bitsieve.llm.learn import labelled, logistic, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
@@ -42,9 +42,9 @@ for _k, _codes in enumerate(_OF.values()):
     _MASKS[_codes, _k] = 1
 
 
-def statistics(text: str | None) -> list[float]:
-    """Transformed statistics of a whole text; null counts as empty."""
-    data = (text or "").encode("utf-8", "surrogatepass")
+def statistics(text: str | bytes | None) -> list[float]:
+    """Transformed statistics of a whole text's bytes, be they UTF-8 or not; null counts as empty."""
+    data = as_bytes(text)
     n = len(data)
     if not n:
         return [0.0] * len(STATISTICS)
@@ -137,12 +137,12 @@ def features(df: DataFrame, doc_id: str, text: str, keep: list[str] = ()) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [statistics(t.as_py()) for t in b.column(0)]
+            x = [statistics(t) for t in raw(b.column(0))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", *keep, "x"])
 
     rows = df.select(F.col(text).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"), *keep)
     extra = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
-    return whole_texts(rows).mapInArrow(run, f"doc_id BIGINT, {extra}x ARRAY<DOUBLE>")
+    return rows.mapInArrow(run, f"doc_id BIGINT, {extra}x ARRAY<DOUBLE>")
 
 
 def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = SAMPLE) -> Discriminant | float:
@@ -154,7 +154,7 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows, counts = labelled(df, labels, doc_id, text, label, fold(F.col("k"), FOLDS) != HELD_OUT, per_label)
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    few = features(rows, "k", "t", ["y"]).orderBy("doc_id", "y").limit(4 * per_label).collect()
+    few = sorted(features(rows, "k", "t", ["y"]).collect(), key=lambda r: (r.doc_id, r.y, r.x))
     if not few:
         return counts[1] / (counts[0] + counts[1])
     x, y = np.array([r.x for r in few]), np.array([r.y for r in few], np.int64)
@@ -178,11 +178,11 @@ def score(df: DataFrame, model: Discriminant | float, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column(1)]).reshape(-1, len(STATISTICS))
+            x = np.array([statistics(t) for t in raw(b.column(1))]).reshape(-1, len(STATISTICS))
             s = np.full(len(x), m) if isinstance(m, float) else m.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, score DOUBLE")
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, score DOUBLE")
 
 
 def op1_quality(spark: SparkSession, d: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import table, whole_texts
+from bitsieve.llm.common import as_bytes, raw, table
 from bitsieve.llm.components import connected
 from bitsieve.llm.minhash import keep_one as keep_one
 from bitsieve.session import cut
@@ -38,9 +38,9 @@ FANOUT = 4
 CHUNK = 1 << 19
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits; no words: 0."""
-    words = (text or "").encode().lower().split()
+def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
+    """64 bits of the whole text's bytes, be they UTF-8 or not; no words: 0."""
+    words = as_bytes(text).lower().split()
     if not words:
         return 0
     parts = [words[i:] for i in range(shingle)] if len(words) >= shingle else [[b" ".join(words)]]
@@ -64,10 +64,10 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in raw(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, fp BIGINT")
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, fp BIGINT")
 
 
 def block_masks(levels: int = LEVELS, blocks: int = DISTANCE + 1) -> list[list[int]]:
@@ -217,7 +217,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """One row per row: doc_id, fp, component_id (least id of all documents reachable by links).
 
     Null and empty texts have fingerprint 0 and link like any other; texts shorter
-    than a shingle are one shingle; repeated rows share a fingerprint. Rows without
+    than a shingle are one shingle; long ones are hashed whole; repeated rows share a
+    fingerprint; what isn't UTF-8 counts as the bytes it is. Rows without
     an id take part in links but name no component, whose id is null if none of its
     rows has one. An empty table gives an empty table. Other columns are ignored.
     """

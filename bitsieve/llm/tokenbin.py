@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import table, whole_texts
+from bitsieve.llm.common import table, texts
 from bitsieve.session import shared_folder
 
 END_ID = 2
@@ -165,9 +165,9 @@ class TokenEncoder:
             return struct.pack(f"<{len(ids)}H", *ids)
         return np.array(ids, self.dtype).tobytes()
 
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+    def encode(self, rows: Iterable[str]) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
-        for text in texts:
+        for text in rows:
             if not self.by_piece or self.unsafe(text) or any(a in text for a in self.added):
                 yield self._packed(text)
             else:
@@ -210,8 +210,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_file: str, doc_id: str = "doc_
             return pa.RecordBatch.from_pylist([row], schema=FORMAT_ARROW)
 
         for batch in batches:
-            texts = (t.as_py() or "" for t in batch.column(1))
-            for doc, packed in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
+            for doc, packed in zip(batch.column(0).to_pylist(), enc.encode(t or "" for t in texts(batch.column(1))), strict=True):
                 ids += (packed, end)
                 docs.append(doc)
                 lengths.append(len(packed) // enc.dtype.itemsize + 1)
@@ -223,7 +222,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_file: str, doc_id: str = "doc_
         if docs:
             yield flush()
 
-    rows = whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     rows.mapInArrow(blocks, FORMAT).write.option("compression", "zstd").mode("overwrite").parquet(path)
 

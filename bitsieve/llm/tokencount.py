@@ -14,13 +14,13 @@ from __future__ import annotations
 import base64
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import table, whole_texts
+from bitsieve.llm.common import table, texts
 
 #: Pre-tokens with their counts that a worker keeps, twice at most; this bounds its memory.
 CACHE = 500_000
@@ -80,10 +80,10 @@ class Unigram:
             out[word] = (scores[-1], tokens[-1])
         return out
 
-    def count(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    def count(self, rows: Iterable[str | None]) -> Iterator[tuple[int, int]]:
         """(pre-tokens, tokens) of each whole text."""
         group, size = [], 0
-        for t in texts:
+        for t in rows:
             group.append(t)
             size += len(t or "")
             if size > GROUP_CHARS:
@@ -123,8 +123,9 @@ _models: dict[int, Unigram] = {}
 def token_counts(df: DataFrame, vocabulary_file: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, n_pretokens, n_tokens.
 
-    Null and empty texts have none; rows that repeat an id are counted each; an
-    empty table gives an empty table. Other columns are ignored. The vocabulary
+    Null and empty texts have none; bytes that aren't UTF-8 count as U+FFFD; texts of any
+    length are counted whole; rows that repeat an id are counted each; an empty table
+    gives an empty table. Other columns are ignored. The vocabulary
     (its size is fixed) goes to the tasks.
     """
     shared = df.sparkSession.sparkContext.broadcast(load_pieces(vocabulary_file or vocabulary()))
@@ -134,11 +135,11 @@ def token_counts(df: DataFrame, vocabulary_file: str | None = None, doc_id: str
         if key not in _models:
             _models[key] = Unigram(shared.value)
         for b in batches:
-            found = list(_models[key].count(b.column(2).to_pylist()))
+            found = list(_models[key].count(texts(b.column(2))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
 
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
-    return whole_texts(df).select(F.col(doc_id).cast("bigint").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, n_bytes BIGINT, n_pretokens BIGINT, n_tokens BIGINT")
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text")).mapInArrow(run, "doc_id BIGINT, n_bytes BIGINT, n_pretokens BIGINT, n_tokens BIGINT")
 
 
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:

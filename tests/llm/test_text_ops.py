@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest_data import ODD, SF
+from pyspark.sql import functions as F
 
 from bitsieve.llm import language, quality, tokenbin, tokencount, toxicity
 
@@ -61,47 +62,110 @@ def test_discriminant_is_the_density(rng=None):
     assert np.allclose(d.difference(x[:5]), log_density(1) - log_density(0))
 
 
-def test_grammar():
+CLAUSES = {
+    True: ["you idiot", "what an idiot.", "idiots like you ruin this", "so you are such a total idiot", "they are idiots", "i will kill you", "get out, idiot"],
+    False: ["he is not an idiot", "she said what an idiot", "an idiot, he said", "idiot you are not", "according to him: never an idiot", "i will not kill you", "they killed time", "you are an antiidiot"],
+}
+
+
+def test_grammar_tells_clauses_apart_that_share_their_words():
+    """The same stem in all clauses: the grammar separates them, stems alone can't."""
+    curve = np.array([4.0, 0.0, -3.0])
+    of = lambda s, t: s.score(np.array([s.sums(t)]))[0]
+    full, flat = (toxicity.Scorer({"idiot": (2.0, 0.0)}, curve, arcs) for arcs in (None, toxicity.FLAT))
+    right = lambda s: sum((of(s, t) >= toxicity.THRESHOLD) == y for y, ts in CLAUSES.items() for t in ts) / sum(map(len, CLAUSES.values()))
+    assert right(full) == 1.0 and right(flat) < 0.75
+    kind = lambda t: {k: round(v, 3) for k, v in zip(toxicity.KINDS, full.sums(t), strict=True) if v}
+    assert kind("what an idiot. IDIOTIC!") == {"plain": 4.0}
+    assert kind("you idiot") == kind("idiots like you") == {"aimed": 2.8}
+    assert kind("he is not an idiot") == {"negated": round(2 * 0.15 * 1.4, 3)} and kind("she said what an idiot") == kind("an idiot, she said") == {"reported": 0.7}
+    assert kind("such an idiot") == {"plain": 2.4}
+    assert kind("i will kill you") == {"threat": 2.8} and kind("they kill") == {} and kind(None) == {}
+    assert toxicity.Scorer({}, curve).sums("nothing here " * 5000)[-1] == 0
+
+
+def test_arcs_are_learned():
+    """Rows in which negated insults are toxic and reported ones aren't move the arcs' weights."""
     s = toxicity.Scorer({"idiot": (2.0, 0.0)})
-    of = lambda t: dict(zip(toxicity.KINDS, s.sums(t), strict=True))
-    assert of("what an idiot.")["plain"] == 2.0
-    assert of("you idiot")["aimed"] == 2.0
-    assert of("he is not an idiot")["negated"] == 2.0
-    assert of("she said what an idiot. idiot")["reported"] == 2.0 and of("she said what an idiot. idiot")["plain"] == 2.0
-    assert of("i will kill you")["threat"] == 1.0 and of("i will not kill you")["threat"] == 0.0
-    assert of("an antiidiot")["plain"] == 0.0 and of(None)["plain"] == 0.0
-    assert of("idiotic! IDIOT")["plain"] == 4.0
-
-
-def test_composition_equals_running_in_turn():
-    neg, said = toxicity._marker(toxicity.NEG, "neg", 3, ()), toxicity._marker(toxicity.SAID, "said", None, ("neg",))
-    both, plain = neg.compose(said, toxicity._symbols(())), toxicity._symbols(())
-    rng = random.Random(3)
-    for _ in range(50):
-        a = b = c = 0
-        for x in rng.choices(plain, k=12):
-            a, mid, _ = neg.step(a, x)
-            b, end, _ = said.step(b, mid)
-            c, out, _ = both.step(c, x)
-            assert out == end
+    rows = [("you are not an idiot", 1), ("a calm day", 0), ("he said idiot", 0), ("you idiot", 1)] * 150
+    x = np.array([s.by_marks(t) for t, _ in rows])
+    curve, arcs = toxicity.fit(x, np.array([y for _, y in rows]))
+    assert arcs["neg"] > toxicity.ARCS["neg"] and arcs["said"] < toxicity.ARCS["said"] and curve[0] > 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_composition_equals_running_in_turn(seed):
+    plain, every = toxicity.symbols(()), toxicity.symbols(toxicity.ALL)
+    w = toxicity.ARCS
+    forward = [toxicity.marker(toxicity.NEG, "neg", 3, (), w["neg"]), toxicity.marker(toxicity.SAID, "said", None, ("neg",), w["said"]), toxicity.marker(toxicity.AIM, "aim", 4, ("neg", "said"), w["aim"])]
+    forward += [toxicity.marker(toxicity.BOOST, "boost", 2, ("neg", "said", "aim"), w["boost"]), toxicity.marker(toxicity.MEANT, "meant", 3, ("neg", "said", "aim", "boost"), 1.0)]
+    backward = [toxicity.marker(toxicity.NEG, "neg", 2, toxicity.ALL, w["neg"]), toxicity.marker(toxicity.SAID, "said", None, toxicity.ALL, w["said"]), toxicity.marker(toxicity.AIM, "aim", 3, toxicity.ALL, w["aim"]), toxicity.verdicts(toxicity.ALL)]
+    rng = random.Random(seed)
+    for machines, composed, alphabet in zip((forward, backward), toxicity.grammar(), (plain, every), strict=True):
+        for _ in range(20):
+            states, c = [0] * len(machines), 0
+            for x in rng.choices(alphabet, k=12):
+                mid, weight = x, 1.0
+                for i, m in enumerate(machines):
+                    states[i], mid, v = m.step(states[i], mid)
+                    weight *= v
+                c, out, total = composed.step(c, x)
+                assert out == mid and np.isclose(weight, total)
+
+
+def test_grammar_costs_nothing_on_held_out_rows(spark):
+    d = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    s = toxicity.train(docs, labels)
+    held = [r for r in docs.join(labels, "doc_id").where("toxic IS NOT NULL").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    y = np.array([r.toxic for r in held])
+    right = lambda s: ((s.score(np.array([s.sums(r.text) for r in held])) >= toxicity.THRESHOLD) == y).mean()
+    assert right(s) >= right(toxicity.Scorer(s.stems, s.curve, toxicity.FLAT)) >= 0.9
+    assert right(s) > right(toxicity.Scorer({}, s.curve)) and y.sum() > 5
+    # The query's rows, by a plain loop over the same model.
+    rows = {r.doc_id: r for r in toxicity.score(docs, s).collect()}
+    assert all(np.allclose([rows[r.doc_id][k] for k in toxicity.KINDS], s.sums(r.text)) for r in held)
 
 
 def test_filter_keeps_columns(spark, odd, empty, labels):
-    scorer = toxicity.Scorer({"idiot": (5.0, 0.0)}, np.array([3.0] * 7 + [-4.0]))
-    scorer.weights[-2] = 0.0
+    scorer = toxicity.Scorer({"idiot": (5.0, 0.0), "moron": (5.0, 0.0)}, np.array([3.0, 0.0, -4.0]))
     kept = toxicity.without_toxic(odd, scorer)
     assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in odd.collect() if r.doc_id != 9)
     assert toxicity.without_toxic(empty, scorer).count() == 0
 
 
-def test_every_stem_beyond_chance_is_learned():
+def test_every_stem_beyond_chance_is_learned(spark):
     words = ["".join(chr(97 + i // 26**k % 26) for k in (0, 1)) + "xqz" for i in range(450)]
     toxic = [f"{w} {i}" for w in words for i in range(12)]
-    clean = [f"und {i}" for i in range(20_000)]
-    stems = toxicity.learn_stems(toxic + clean, np.array([1] * len(toxic) + [0] * len(clean)))
+    rows = [(i, int(i < len(toxic)), t) for i, t in enumerate(toxic + [f"und {i}" for i in range(20_000)])]
+    stems = toxicity.learn_stems(spark.createDataFrame(rows, "k BIGINT, y INT, t STRING"))
     assert all(any(w.startswith(s) for s in stems) for w in words) and len(stems) > 400
 
 
+def test_conflicting_labels_teach_nothing(spark):
+    from bitsieve.llm.learn import labelled
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id BIGINT, text STRING")
+    known = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 0), (2, 0), (3, None), (None, 1), (4, 7)], "doc_id BIGINT, toxic INT")
+    rows, counts = labelled(docs, known, "doc_id", "text", "toxic", F.lit(True), 100)
+    assert sorted(map(tuple, rows.collect())) == [(0, 1, "text 0"), (2, 0, "text 2")] and counts == {0: 1, 1: 1}
+
+
+def test_bytes_that_are_not_utf8(spark, labels):
+    """Every operator on texts takes them; the others' rows are what they are without."""
+    from bitsieve.llm import minhash, simhash, substrings
+
+    rows = spark.sql("SELECT CAST(1 AS BIGINT) AS doc_id, CAST(X'61FF62' AS STRING) AS text, 'en' AS lang, 's' AS source, 3L AS n_chars UNION ALL SELECT 2, 'plain words here', 'en', 's', 16")
+    assert ids(quality.score(rows, quality.train(rows, labels)).collect()) == [1, 2]
+    scorer = toxicity.Scorer({"plain": (9.0, 0.0)}, np.array([9.0, 0.0, -3.0]))
+    assert {r.doc_id: r.score > 0.5 for r in toxicity.score(rows, scorer).collect()} == {1: False, 2: True}
+    assert [bytes(r[0]) for r in toxicity.without_toxic(rows, scorer).select(F.col("text").cast("binary")).collect()] == [b"a\xffb"]
+    assert ids(language.predict(rows, language.train(rows)).collect()) == [1, 2]
+    assert {r.doc_id: r.fp for r in simhash.near_duplicates(rows).collect()}[1] == np.uint64(simhash.fingerprint(b"a\xffb")).astype(np.int64)
+    assert {r.doc_id: bytes(r.kept) for r in substrings.remove_repeats(rows).collect()}[1] == b"a\xffb"
+    assert ids(tokencount.token_counts(rows).collect()) == ids(tokenbin.encode_documents(rows).collect()) == ids(minhash.keep_one(rows).collect()) == [1, 2]
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     import itertools
