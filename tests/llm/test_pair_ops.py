@@ -314,9 +314,12 @@ def brute_links(rows):
     return [(v, len(n), least.get(k)) for (v, *_), n, k in zip(rows, out, label, strict=True)]
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,rows_of_list", [(2048, 8192), (7, 8192), (2048, 40), (7, 5)])
+def test_embeddings(spark, monkeypatch, block, rows_of_list):
+    """One list of a label, lists of one stage and of two; blocks that hold all, and very small ones."""
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "QUERIES", 2 * block)
+    monkeypatch.setattr(embeddings, "LIST_ROWS", rows_of_list)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 10))
     rows = [(int(i), [float(np.float32(x)) for x in base[i % 60] + rng.normal(size=10) * 0.08 * (i % 5)], int(i % 2)) for i in range(240)]
@@ -331,7 +334,23 @@ def test_embeddings(spark, monkeypatch, block):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_embedding_recall(spark):
+def test_lists_left_out_hold_no_partner():
+    """Where the number of probes doesn't bind, both of a linked pair ask the other's list."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(400, 16))
+    x = np.repeat(base, 3, axis=0) + rng.normal(size=(1200, 16)) * 0.12
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    m = embeddings.fit(x, 2)
+    lists, rest = m.near(x, 2, float(np.sqrt(0.14)), 256)
+    assert all(np.allclose(m.centre(int(own[0]), 2) + r, v, atol=1e-5) for own, r, v in zip(lists, rest, x, strict=True))
+    a, b = np.nonzero(x @ x.T >= 0.93)
+    assert all(lists[j, 0] in lists[i] for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert (lists >= 0).sum() < 0.9 * lists.size and len(set(lists[:, 0].tolist())) > 30
+
+
+@pytest.mark.parametrize("rows_of_list", [8192, 64])
+def test_embedding_recall(spark, monkeypatch, rows_of_list):
+    monkeypatch.setattr(embeddings, "LIST_ROWS", rows_of_list)
     d = SF.replace("0.001", "0.1")
     p = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
     got = embeddings.op10_embeddings(spark, d).toPandas().set_index("vec_id").n_links
