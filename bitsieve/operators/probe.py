@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bitsieve.operators.state import CHUNK_WORDS, chunk_number, chunks
 from bitsieve.plans.layout import ITEM, SHARD, TEMP, bit, numbered, position_names, renamed, with_positions, word_index, word_masks
+from bitsieve.session import cut
 from bitsieve.spec import BLOCKED, FLAT, SHARD_WINDOW_BITS, FilterSpec
 
 #: Largest filter whose words are one array in every task: 2^25 bits are 4 MB.
@@ -27,6 +28,7 @@ def contains(df: DataFrame, item: str, state: DataFrame, spec: FilterSpec, out:
 
     * ``broadcast``: all words are one array in every task; up to 2^25 bits.
     * ``chunks``: chunks of 4 KB are broadcast and looked up by their number; up to 2^30 bits. Rows stay where they are.
+      In the flat layout, whose items meet a chunk for each bit, the chunks are written at once, when this is called.
     * ``join``: any size. Where an item's bits lie in one chunk (all layouts but the flat one), rows meet their
       chunk in one shuffle; else distinct items meet their words, and rows their item's answer.
     * ``auto`` takes the first that the filter's size allows.
@@ -81,6 +83,9 @@ def _by_chunks(rows: DataFrame, state: DataFrame, spec: FilterSpec, dispatch, se
     names = position_names(spec)
     groups = [[n] for n in names] if spec.layout == FLAT else [names]
     data = chunks(state, spec, OVERHANG[spec.layout])
+    if len(groups) > 1:
+        # Written once: the joins then share one broadcast, where each would make the chunks anew.
+        data = cut(data)
     right = send(data.select(F.col("chunk").alias(chunk), F.col("words").alias(TEMP + "words")))
     rows = rows.withColumn(out, F.lit(True))
     for own in groups:

@@ -101,6 +101,10 @@ def chunks(state: DataFrame, spec: FilterSpec, overhang: int = 0) -> DataFrame:
     rows = state.select(F.inline(places), "word").repartition("chunk").sortWithinPartitions("chunk")
     width = CHUNK_WORDS + overhang
 
+    def lists(keys: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+        words = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * block.shape[1]), pa.array(block.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(keys), words], names=["chunk", "words"])
+
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = None, np.zeros(width, np.int64)
         for b in batches:
@@ -113,15 +117,11 @@ def chunks(state: DataFrame, spec: FilterSpec, overhang: int = 0) -> DataFrame:
             if held == keys[0]:
                 block[0] |= last
             elif held is not None:
-                yield _lists(np.array([held]), last[None])
-            yield _lists(keys[:-1], block[:-1])
+                yield lists(np.array([held]), last[None])
+            yield lists(keys[:-1], block[:-1])
             held, last = int(keys[-1]), block[-1]
         if held is not None:
-            yield _lists(np.array([held]), last[None])
+            yield lists(np.array([held]), last[None])
 
     return rows.mapInArrow(dense, "chunk BIGINT, words ARRAY<BIGINT>")
 
-
-def _lists(keys: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-    words = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * block.shape[1]), pa.array(block.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(keys), words], names=["chunk", "words"])
