@@ -1,10 +1,11 @@
 """Benchmark decontamination, with DataFrame functions only.
 
-The benchmark's windows of words are few and are sent to every task, where their
-number allows. Each window is filed under its longest word. A document's words
-are looked up one by one; where one is some window's longest word, the words
-around it are compared with the whole window. So a hit is verified word by word,
-and no window of the corpus is built that can't match.
+The benchmark's distinct windows of words are a set of hashes, which goes to every task
+where its size allows. A document's windows are hashed as they are scanned and looked up
+in the set; where one is found, its words are compared with the window's, so a hit is
+verified word by word. A set that is too large meets the documents' windows in a
+shuffle, of which each row is a document's number, a place and a hash; what is found
+there is joined back to the documents to be verified.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitsieve.llm.common import ascii_lower, table
+from bitsieve.session import cut
 
 WINDOW = 13
 #: Bytes of windows that are broadcast at most; more are joined by a shuffle.
@@ -27,44 +29,86 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")
 
 
+def window_hash(word_hashes: Column) -> Column:
+    return F.xxhash64(word_hashes)
+
+
 def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
-    """(pivot, gram, at, items): distinct windows, their longest word and its place, the ids of their items."""
+    """(h, len, gram, items): hash, length and words of the distinct windows, and the sorted ids of their items."""
     w = benchmark.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))
     w = w.select("item", "words", F.explode(starts).alias("i")).select("item", F.slice("words", F.col("i"), n).alias("gram"))
     w = w.groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    best = F.array_max(F.transform("gram", lambda x, i: F.struct(F.length(x).alias("len"), x.alias("word"), i.alias("i"))))
-    w = w.withColumn("best", best)
-    return w.select(F.col("best.word").alias("pivot"), "gram", F.col("best.i").alias("at"), "items")
+    return w.select(window_hash(F.transform("gram", lambda x: F.xxhash64(x))).alias("h"), F.size("gram").alias("len"), "gram", "items")
+
+
+def _scanned(hashes: str, lengths: list[int]) -> Column:
+    """Array of (len, pos, h): the windows of each length over an array of word hashes."""
+    n = F.size(hashes)
+
+    def of(length: int) -> Column:
+        one = lambda i: F.struct(F.lit(length).alias("len"), (i - 1).alias("pos"), window_hash(F.slice(hashes, i, length)).alias("h"))
+        return F.when(n >= length, F.transform(F.sequence(F.lit(1), n - length + 1), one)).otherwise(F.array().cast("array<struct<len:int,pos:int,h:bigint>>"))
+
+    return F.concat(*map(of, lengths))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WINDOW, keep: list[str] = ()) -> DataFrame:
     """One row per row: doc_id, n_words, n_hit, items (sorted ids), spans (merged, in words), contaminated.
 
-    Null and empty texts have no words and are clean; rows that repeat an id, and
-    those without one, are judged each by itself; null items and items without
-    words match nothing; an empty benchmark matches nothing. Other columns than
-    ``keep`` are ignored.
+    Null and empty texts have no words and are clean; texts of any length are scanned
+    whole; rows that repeat an id, and those without one, are judged each by itself;
+    null items and items without words match nothing; an empty benchmark matches
+    nothing. Other columns than ``keep`` are ignored.
     """
     grams = windows(benchmark, n=n)
     size = grams.agg(F.sum(F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("items", " ")) + 8 * F.size("gram"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        grams = F.broadcast(grams)
-    rows = df.select(F.col(doc_id).alias("doc_id"), *keep, F.monotonically_increasing_id().alias("row"), words_of(F.col(text)).alias("words"))
-    rows = rows.select("doc_id", *keep, "row", "words", F.posexplode_outer("words").alias("pos", "word"))
-    rows = rows.join(grams, F.col("word") == F.col("pivot"), "left")
-    first = F.col("pos") - F.col("at")
-    same = F.when(first >= 0, F.slice("words", first + 1, F.size("gram")) == F.col("gram")).otherwise(False)
-    hit = F.col("gram").isNotNull() & same
+    lengths = sorted(r.len for r in grams.select("len").distinct().collect()) or [n]
+    rows = df.select(F.col(doc_id).alias("doc_id"), *keep, F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    found = _hits_by_broadcast(rows, grams, lengths, keep) if size <= BROADCAST_BYTES else _hits_by_shuffle(rows, grams, lengths, keep)
+    return _judged(found, keep)
+
+
+def _hits_by_broadcast(rows: DataFrame, grams: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
+    """(doc_id, kept columns, n_words, hits, items) of each row; a row moves once, with its hits."""
+    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
+    rows = rows.select("doc_id", *keep, "row", "words", F.inline_outer(_scanned("hashes", lengths)))
+    grams = grams.select(F.col("h").alias("gh"), F.col("len").alias("gl"), "gram", "items")
+    rows = rows.join(F.broadcast(grams), (F.col("h") == F.col("gh")) & (F.col("len") == F.col("gl")), "left")
+    hit = F.col("gram").isNotNull() & (F.slice("words", F.col("pos") + 1, F.col("len")) == F.col("gram"))
+    # One row stays of each document, whether it has hits or not.
     rows = rows.where(F.col("pos").isNull() | (F.col("pos") == 0) | hit)
-    span = F.when(hit, F.struct(first.alias("start"), (first + F.size("gram")).alias("end")))
-    out = rows.groupBy("row").agg(
+    span = F.when(hit, F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("end")))
+    return rows.groupBy("row").agg(
         F.any_value("doc_id").alias("doc_id"),
         *[F.any_value(c).alias(c) for c in keep],
-        F.max(F.coalesce(F.greatest(F.size("words"), F.lit(0)), F.lit(0))).cast("bigint").alias("n_words"),
+        F.max(F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0))).cast("bigint").alias("n_words"),
         F.array_sort(F.collect_set(span)).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("items")))))).alias("items"),
     )
+
+
+def _hits_by_shuffle(rows: DataFrame, grams: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
+    """The same for a set of any size. The rows are written with their numbers; (row, len, pos, h) meet the set."""
+    rows = cut(rows)
+    scanned = rows.select("row", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes")).select("row", F.inline(_scanned("hashes", lengths)))
+    met = scanned.join(grams, ["h", "len"]).groupBy("row").agg(F.collect_list(F.struct("pos", "len", "gram", "items")).alias("met"))
+    words = words_of(F.col("text"))
+    rows = rows.join(met, "row", "left").withColumn("words", words)
+    sure = F.filter(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), lambda m: F.slice("words", m["pos"] + 1, m["len"]) == m["gram"])
+    rows = rows.withColumn("met", sure)
+    return rows.select(
+        "row",
+        "doc_id",
+        *keep,
+        F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_words"),
+        F.array_sort(F.array_distinct(F.transform("met", lambda m: F.struct(m["pos"].alias("start"), (m["pos"] + m["len"]).alias("end"))))).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda m: m["items"])))).alias("items"),
+    )
+
+
+def _judged(out: DataFrame, keep: list[str]) -> DataFrame:
+    """Hits merged to spans, and the contract's rule on their words."""
     start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(None).cast("struct<start:int,end:int>").alias("open"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -81,7 +125,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
 
 
 def without_contaminated(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that are clean, all columns kept."""
+    """The rows of ``df`` that are clean, all columns kept; null, empty and repeated ones as in :func:`contamination`."""
     names = {c: f"__{i}" for i, c in enumerate(df.columns)}
     inner = df.select(*[F.col(f"`{c}`").alias(v) for c, v in names.items()])
     out = contamination(inner, benchmark, names[doc_id], names[text], keep=list(names.values()))

@@ -10,6 +10,9 @@ make nodes, runs of nodes make upper nodes; a node keeps the bits that all below
 it share. Pairs of nodes are compared from the top: the shared bits in which they
 differ are a lower bound of all distances below, which drops whole groups. A file
 returns a spanning forest of its links, never all pairs.
+
+``keep_one``, which removes near copies at a similarity of 0.8 over five words, takes
+its candidates from ``minhash``: three of 64 bits reach one in ten of such pairs.
 """
 
 from __future__ import annotations

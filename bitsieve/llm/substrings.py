@@ -31,14 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitsieve.llm.common import table
+from bitsieve.llm.common import raw, table
 from bitsieve.llm.suffixsort import SuffixSorter
 from bitsieve.session import cut, release
 
 LENGTH = 50
 GRAM = 16
-#: Bytes of text in a group, about.
-GROUP_BYTES = 4 << 20
+#: Bytes of text in a group, about; and in the groups, or buckets, of a task.
+GROUP_BYTES, TASK_BYTES = 4 << 20, 64 << 20
 #: Documents that share a minimizer, beyond which its strings are sent one by one.
 COMMON = 1000
 #: Strings of one minimizer in a row that are cut out together, at most.
@@ -53,7 +53,7 @@ class Texts:
 
     def __init__(self, rows: pa.Table) -> None:
         ids = rows.column("doc_id").to_pylist()
-        data = [(t or "").encode("utf-8", "surrogatepass") for t in rows.column("text").to_pylist()]
+        data = [t or b"" for t in raw(rows.column("text"))]
         order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], data[i]))
         self.ids = [ids[i] for i in order]
         self.data = [data[i] for i in order]
@@ -345,7 +345,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left, or their SHA-256 if not ``keep``).
 
     A null text is empty; texts shorter than ``length`` bytes, and empty ones, lose
-    nothing. A row without an id counts as having the largest one; rows that share
+    nothing; long ones are searched whole; what isn't UTF-8 counts as the bytes it is. A row without an id counts as having the largest one; rows that share
     an id remove nothing from each other. An empty table gives an empty table.
     Other columns are ignored. ``length`` is 24 at least.
     """
@@ -354,17 +354,20 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // GROUP_BYTES + 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
+    n = max(tasks, total // GROUP_BYTES + 1)
+    # Tasks follow the input, whatever the session's number of shuffle partitions.
+    by = lambda df, key: df.repartition(tasks, key).groupBy(key)
     docs = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
-    asked = docs.groupBy("grp").applyInArrow(lambda t: _ask(t, length, n), BUCKET_DDL)
-    answers = cut(asked.groupBy("bucket").applyInArrow(_answer, GROUP_DDL))
+    asked = by(docs, "grp").applyInArrow(lambda t: _ask(t, length, n), BUCKET_DDL)
+    answers = cut(by(asked, "bucket").applyInArrow(_answer, GROUP_DDL))
     del asked
     release(spark)
-    sent = docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(lambda a, b: _cut_out(a, b, length, n), BUCKET_DDL)
-    runs = cut(sent.groupBy("bucket").applyInArrow(lambda t: _compare(t, length, n), GROUP_DDL))
+    sent = by(docs, "grp").cogroup(by(answers, "grp")).applyInArrow(lambda a, b: _cut_out(a, b, length, n), BUCKET_DDL)
+    runs = cut(by(sent, "bucket").applyInArrow(lambda t: _compare(t, length, n), GROUP_DDL))
     del answers, sent
     release(spark)
-    return docs.groupBy("grp").cogroup(runs.groupBy("grp")).applyInArrow(lambda a, b: _finish(a, b, keep), "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept BINARY")
+    return by(docs, "grp").cogroup(by(runs, "grp")).applyInArrow(lambda a, b: _finish(a, b, keep), "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept BINARY")
 
 
 def op6_substrings(spark: SparkSession, d: str) -> DataFrame:

@@ -92,6 +92,30 @@ class EliasFano:
         low = int.from_bytes(self.low[a >> 3 : (a + self.low_width + 7) >> 3], "little") >> (a & 7) & ((1 << self.low_width) - 1)
         return (self.select(i) - i) << self.low_width | low
 
+    def slice(self, start: int, stop: int) -> np.ndarray:
+        """Values start..stop-1 as unsigned 64-bit integers, found by ``select``; no others are decoded."""
+        stop = min(stop, self.n)
+        if start >= stop:
+            return np.zeros(0, np.uint64)
+        first, last = self.select(start), self.select(stop - 1)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8, (last >> 3) - (first >> 3) + 1, first >> 3), bitorder="little")
+        ones = np.flatnonzero(bits)[(np.flatnonzero(bits) >= (first & 7)).argmax() :][: stop - start] + (first >> 3 << 3)
+        out = (ones - np.arange(start, stop)).astype(np.uint64) << np.uint64(self.low_width)
+        if self.low_width:
+            a, b = start * self.low_width, stop * self.low_width
+            low = np.unpackbits(np.frombuffer(self.low, np.uint8, (b + 7 >> 3) - (a >> 3), a >> 3), bitorder="little")[a & 7 :][: b - a].reshape(stop - start, -1)
+            for i in range(self.low_width):
+                out |= low[:, i].astype(np.uint64) << np.uint64(i)
+        return out
+
+    def find(self, value: int) -> int:
+        """Place of the first value that isn't smaller; ``n`` if there is none."""
+        lo, hi = 0, self.n
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self[mid] < value else (lo, mid)
+        return lo
+
     def decode(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
         high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_width)
@@ -189,8 +213,9 @@ def encoder(definition: str) -> TokenEncoder:
 def write_ids(df: DataFrame, path: str, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
     """Encode all texts and write them to ``path`` in ascending order of doc_id.
 
-    Null and empty texts are one end id each. Rows without an id come first; rows
-    that repeat an id stand together. An empty table writes no blocks. Other
+    Null and empty texts are one end id each; texts of any length are encoded whole, and
+    bytes that aren't UTF-8 as U+FFFD. Rows without an id come first; rows that repeat
+    an id stand together. An empty table writes no blocks. Other
     columns are ignored. The vocabulary file (its size is fixed) is sent to the tasks.
     """
     spark = df.sparkSession
@@ -230,10 +255,68 @@ def write_ids(df: DataFrame, path: str, tokenizer_file: str, doc_id: str = "doc_
 FORMAT_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("before", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("n_null", pa.int64()), ("first_id", pa.int64()), ("doc_ids", pa.binary())])
 
 
+#: Documents of a block whose boundaries are decoded at once.
+RUN = 1024
+
+
+class Block:
+    """One block: boundaries are found by select, and ids are views of the bytes that were read."""
+
+    def __init__(self, row: dict) -> None:
+        self.part, self.before, self.n_docs, self.n_null, self.first = row["part"], row["before"], row["n_docs"], row["n_null"], row["first_id"]
+        self.raw, self.ends, self.known = np.frombuffer(row["ids"], f"<u{row['width']}"), EliasFano.from_bytes(row["ends"]), EliasFano.from_bytes(row["doc_ids"])
+
+    def bounds(self, start: int, stop: int) -> np.ndarray:
+        """Where documents start..stop-1 begin, and where the last one ends."""
+        before = self.ends[start - 1] if start else 0
+        return np.concatenate([[before], self.ends.slice(start, stop).astype(np.int64)])
+
+    def docs(self, start: int, stop: int) -> list[int | None]:
+        """Their ids; those without one come first."""
+        stop, none = min(stop, self.n_docs), self.n_null
+        known = self.known.slice(max(0, start - none), stop - none) if stop > none else np.zeros(0, np.uint64)
+        return [None] * max(0, min(stop, none) - start) + (known + np.array([self.first]).astype(np.uint64)).astype(np.int64).tolist()
+
+    def ids(self, start: int, end: int) -> np.ndarray:
+        return self.raw[start:end].astype("<u4")
+
+    def of(self, doc: int) -> Iterator[tuple[int, int]]:
+        """(start, end) in the block of each document with that id; nothing else is decoded."""
+        if doc < self.first:
+            return
+        i = self.known.find(doc - self.first)
+        while i < self.known.n and self.known[i] == doc - self.first:
+            at = i + self.n_null
+            yield (self.ends[at - 1] if at else 0), self.ends[at]
+            i += 1
+
+
+def lookup_ids(spark: SparkSession, path: str, docs: list[int]) -> DataFrame:
+    """(doc_id, ids): of a list of documents, found in the blocks by binary search and select.
+
+    Blocks whose first id is larger than all that are asked for aren't read. An id that
+    several rows share gives a row for each, one that isn't there none.
+    """
+    wanted = sorted(set(docs))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, np.ndarray]] = []
+            for i in range(batch.num_rows):
+                b = Block({n: batch.column(n)[i].as_py() for n in batch.schema.names})
+                found += [(doc, b.ids(s, e)) for doc in wanted for s, e in b.of(doc)] if b.known.n else []
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    blocks = spark.read.schema(FORMAT).parquet(path).where(F.col("first_id") <= max(wanted, default=0))
+    return blocks.mapInArrow(rows, "doc_id BIGINT, ids ARRAY<BIGINT>")
+
+
 def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), and with ``keep_ids`` the ids as an array, out of the files.
 
-    The driver holds one number for each partition that was written.
+    One row for each row that was written, in any order; those without an id come with
+    a null. Files of an empty table give no row. Boundaries are decoded a thousand
+    documents at a time. The driver holds one number for each partition that was written.
     """
     blocks = spark.read.schema(FORMAT).parquet(path)
     total, base = 0, {}
@@ -243,19 +326,17 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFram
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.to_pylist():
-                ids = np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4")
-                ends = EliasFano.from_bytes(b["ends"]).decode().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                known = EliasFano.from_bytes(b["doc_ids"]).decode() + np.array([b["first_id"]]).astype(np.uint64)
-                docs = [None] * b["n_null"] + known.astype(np.int64).tolist()
-                view = memoryview(ids).cast("B")
-                out = {"doc_id": docs, "start": starts + base[b["part"]] + b["before"], "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]}
-                types = [pa.int64()] * 4
-                if keep_ids:
-                    out["ids"] = [ids[s:e] for s, e in zip(starts, ends, strict=True)]
-                    types.append(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+            for i in range(batch.num_rows):
+                b = Block({n: batch.column(n)[i].as_py() for n in batch.schema.names})
+                for lo in range(0, b.n_docs, RUN):
+                    at = b.bounds(lo, lo + RUN)
+                    starts, ends = at[:-1], at[1:]
+                    out = {"doc_id": b.docs(lo, lo + RUN), "start": at[:-1] + base[b.part] + b.before, "n_tokens": ends - starts, "ids_crc32": [zlib.crc32(b.ids(s, e)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]}
+                    types = [pa.int64()] * 4
+                    if keep_ids:
+                        out["ids"] = [b.ids(s, e) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                        types.append(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return blocks.mapInArrow(rows, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT" + (", ids ARRAY<BIGINT>" if keep_ids else ""))
 

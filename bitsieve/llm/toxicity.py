@@ -104,19 +104,36 @@ def marker(opens: int, mark: str, reach: int | None, known: tuple[str, ...], wei
     """After a symbol of class ``opens``, ``mark`` goes on the next ``reach`` symbols, or on all.
 
     The arc that puts it on an insult or on a threat has that weight; a symbol that
-    has the mark already (from the other direction) passes as it is.
+    has the mark already (from the other direction) passes as it is. Who reports, or is
+    spoken of in a report, is no target: there ``aim`` isn't opened, and a word of report ends it.
     """
     t, top = Transducer(), reach or 1
     for state in range(top + 1):
         for c, m in symbols(known):
-            if c == opens:
+            if c == opens and not (mark == "aim" and "said" in m):
                 t.arcs[state, (c, m)] = (top, (c, m), 1.0)
+            elif mark == "aim" and c == SAID:
+                t.arcs[state, (c, m)] = (0, (c, m), 1.0)
             elif state:
-                w = weight if c in (INSULT, HARM) and mark not in m else 1.0
-                t.arcs[state, (c, m)] = (state - 1 if reach else state, (c, m | {mark}), w)
+                t.arcs[state, (c, m)] = (state - 1 if reach else state, (c, m | {mark}), _weight(c, m, mark, weight))
     return t
 
 
+def closing(opens: int, mark: str, reach: int, known: tuple[str, ...], weight: float) -> Transducer:
+    """Like a marker, but opened by the first symbol it reads only: read backwards, by a clause's last word."""
+    t, done = Transducer(), reach + 1
+    for c, m in symbols(known):
+        t.arcs[0, (c, m)] = (reach if c == opens else done, (c, m), 1.0)
+        t.arcs[done, (c, m)] = (done, (c, m), 1.0)
+        for state in range(1, reach + 1):
+            t.arcs[state, (c, m)] = (state - 1 or done, (c, m | {mark}), _weight(c, m, mark, weight))
+    return t
+
+
+def _weight(c: int, marks: frozenset, mark: str, weight: float) -> float:
+    return weight if c in (INSULT, HARM) and mark not in marks else 1.0
+
+
 def verdicts(known: tuple[str, ...]) -> Transducer:
     """What is no insult and no threat weighs nothing; violence is a threat if it is meant."""
     t = Transducer()
@@ -149,7 +166,7 @@ def grammar(weights: tuple[tuple[str, float], ...] = tuple(ARCS.items())) -> tup
         ],
         symbols(()),
     )
-    backward = _composed([marker(NEG, "neg", 2, ALL, w["neg"]), marker(SAID, "said", None, ALL, w["said"]), marker(AIM, "aim", 3, ALL, w["aim"]), verdicts(ALL)], symbols(ALL))
+    backward = _composed([closing(NEG, "neg", 4, ALL, w["neg"]), marker(SAID, "said", None, ALL, w["said"]), marker(AIM, "aim", 3, ALL, w["aim"]), verdicts(ALL)], symbols(ALL))
     return forward, backward
 
 

@@ -21,5 +21,5 @@ ODD = [
     (-5, "negative ids are ids", "en", "b"),
     (2**62, "large ids are ids", "en", "b"),
 ]
-CLASH = ["key", "range", "size", "taken", "word", "pos", "fp", "score", "grp", "k", "y", "t", "n", "row", "items", "component_id"]
+CLASH = ["key", "range", "size", "taken", "word", "pos", "fp", "score", "grp", "k", "y", "t", "n", "row", "items", "component_id", "__row", "__k", "__mark", "__bs_p0", "c0", "src", "id", "hits"]
 SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest_data import CLASH, ODD, SF
+from pyspark.sql import functions as F
 
 from bitsieve.llm import decontaminate, embeddings, minhash, mixing, registry, simhash, substrings, suffixsort
 from bitsieve.llm.components import connected
@@ -260,10 +261,34 @@ def test_decontaminate_odd(spark, folder, odd, empty):
     assert decontaminate.contamination(odd, bench.limit(0)).where("contaminated OR n_hit > 0").count() == 0
 
 
-def test_decontaminate_without_broadcast(spark, monkeypatch):
+def test_decontaminate_by_shuffle(spark, folder, odd, monkeypatch):
+    """A set of windows that isn't broadcast gives the same rows; what it shuffles holds no words."""
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     want = key(decontaminate.op7_decontaminate(spark, SF).collect())
+    strange = key(decontaminate.contamination(odd, bench).collect())
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
-    assert key(decontaminate.op7_decontaminate(spark, SF).collect()) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = decontaminate.op7_decontaminate(spark, SF)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan and "SortMergeJoin [h#" in plan
+        scanned = next(line for line in plan.splitlines() if "Generate inline(" in line)
+        assert "words" not in scanned.split(", false, [")[-1] and "[row#" in scanned
+        assert key(got.collect()) == want
+        assert key(decontaminate.contamination(odd, bench).collect()) == strange
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hits_are_verified(spark, monkeypatch):
+    """Were all hashes equal, only windows with the same words would be hits."""
+    monkeypatch.setattr(decontaminate, "window_hash", lambda c: F.lit(1).cast("bigint"))
+    bench = spark.createDataFrame([(1, "a b c"), (2, "d e")], "item_id BIGINT, text STRING")
+    docs = spark.createDataFrame([(1, "x A-b c, y d f"), (2, "d e d e"), (3, "c b a")], "doc_id BIGINT, text STRING")
+    for bound in (1 << 20, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", bound)
+        rows = {r.doc_id: (r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in decontaminate.contamination(docs, bench).collect()}
+        assert rows == {1: (7, 3, ["1"], [(1, 4)]), 2: (4, 4, ["2"], [(0, 4)]), 3: (3, 0, [], [])}
 
 
 def test_mixing_odd(spark, odd, empty):
@@ -281,10 +306,32 @@ def test_mixing_odd(spark, odd, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
     out = mixing.mixed(odd)
     assert out.columns == odd.columns
-    got = Counter()
-    for r in out.collect():
-        got[r.source] += size(r.text)
-    assert {s: n for s, n in got.items() if n} == {s: n for s, n in taken.items() if n}
+    # Whole rows, each as often as the plan takes it; a text that a budget cuts is the start of one.
+    want = Counter()
+    for r in rows:
+        for e in range(-(-r.taken // r.size) if r.size else 0):
+            want[r.doc_id, r.source, min(r.size, r.taken - e * r.size)] += 1
+    got = out.collect()
+    assert Counter((r.doc_id, r.source, size(r.text)) for r in got) == want
+    whole = [r.asDict() for r in odd.collect()]
+    for r in got:
+        rest = {k: v for k, v in r.asDict().items() if k != "text"}
+        assert any({k: v for k, v in w.items() if k != "text"} == rest and (w["text"] or "").startswith(r.text) for w in whole)
+
+
+def test_mixed_counts_equal_rows_each(spark):
+    """Rows that are equal in all columns, without ids too; a table with the names that are used inside."""
+    rows = [(1, "a b c", "x", 0)] * 4 + [(None, "d e", "x", 0)] * 3 + [(2, "f", None, 0)] * 2 + [(3, "", "x", 0), (None, None, None, 0)]
+    names = ["__row", "taken", "size", "key", "src", "range", "part", "c0", "id"]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING, n INT").select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    got, plan = out.collect(), mixing.mix(df).collect()
+    assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in plan)
+    assert all(tuple(r)[4:] == tuple(range(len(names))) for r in got)
+    # Source x has 18 of 20 words and a third of all, 6.67; the null source can give 3 times its 2 words.
+    assert Counter((r.source, len(r.text.split())) for r in got if r.source is None) == Counter({(None, 1): 6})
+    assert sum(len(r.text.split()) for r in got if r.source == "x") == 14
 
 
 def test_mixed_keeps_spacing(spark):
@@ -385,7 +432,7 @@ def test_pipeline(spark):
 
     rows = corpus_pipeline.run(spark, SF).orderBy("start").collect()
     assert rows and rows[0].start == 0 and all(b.start == a.start + a.n_tokens and a.doc_id <= b.doc_id for a, b in zip(rows, rows[1:], strict=False))
-    assert len(CLASH) > 10
+    assert {"__row", "__k", "__mark", "__bs_p0"} <= set(CLASH)
 
 
 def test_stages_keep_the_rows_of_a_plain_version(spark, tmp_path):

@@ -63,8 +63,8 @@ def test_discriminant_is_the_density(rng=None):
 
 
 CLAUSES = {
-    True: ["you idiot", "what an idiot.", "idiots like you ruin this", "so you are such a total idiot", "they are idiots", "i will kill you", "get out, idiot"],
-    False: ["he is not an idiot", "she said what an idiot", "an idiot, he said", "idiot you are not", "according to him: never an idiot", "i will not kill you", "they killed time", "you are an antiidiot"],
+    True: ["you idiot", "what an idiot.", "idiots like you ruin this", "so you are such a total idiot", "they are idiots", "i will kill you", "get out, idiot", "you idiots don't get it"],
+    False: ["he is not an idiot", "she said what an idiot", "an idiot, he said", "idiot you are not", "according to him: never an idiot", "i will not kill you", "they killed time", "you are an antiidiot", "he said you idiot"],
 }
 
 
@@ -99,7 +99,7 @@ def test_composition_equals_running_in_turn(seed):
     w = toxicity.ARCS
     forward = [toxicity.marker(toxicity.NEG, "neg", 3, (), w["neg"]), toxicity.marker(toxicity.SAID, "said", None, ("neg",), w["said"]), toxicity.marker(toxicity.AIM, "aim", 4, ("neg", "said"), w["aim"])]
     forward += [toxicity.marker(toxicity.BOOST, "boost", 2, ("neg", "said", "aim"), w["boost"]), toxicity.marker(toxicity.MEANT, "meant", 3, ("neg", "said", "aim", "boost"), 1.0)]
-    backward = [toxicity.marker(toxicity.NEG, "neg", 2, toxicity.ALL, w["neg"]), toxicity.marker(toxicity.SAID, "said", None, toxicity.ALL, w["said"]), toxicity.marker(toxicity.AIM, "aim", 3, toxicity.ALL, w["aim"]), toxicity.verdicts(toxicity.ALL)]
+    backward = [toxicity.closing(toxicity.NEG, "neg", 4, toxicity.ALL, w["neg"]), toxicity.marker(toxicity.SAID, "said", None, toxicity.ALL, w["said"]), toxicity.marker(toxicity.AIM, "aim", 3, toxicity.ALL, w["aim"]), toxicity.verdicts(toxicity.ALL)]
     rng = random.Random(seed)
     for machines, composed, alphabet in zip((forward, backward), toxicity.grammar(), (plain, every), strict=True):
         for _ in range(20):
@@ -233,6 +233,10 @@ def test_elias_fano(n):
         v = np.sort(rng.integers(0, top, n, dtype=np.uint64))
         e = tokenbin.EliasFano.from_bytes(tokenbin.EliasFano.encode(v).to_bytes())
         assert (e.decode() == v).all() and all(e[i] == int(v[i]) for i in range(0, n, 37))
+        for a, b in rng.integers(0, n + 3, (20, 2)).tolist():
+            assert (e.slice(a, b) == v[a:b]).all()
+        for x in [0, *v[::91].tolist(), *(v[::101] + np.uint64(1)).tolist()]:
+            assert e.find(x) == np.searchsorted(v, np.uint64(x))
         with pytest.raises(IndexError):
             e[n]
     small = tokenbin.EliasFano.encode(np.arange(0, 100_000, 100, dtype=np.uint64))
@@ -261,6 +265,9 @@ def test_token_ids_of_odd_rows(spark, odd, empty, tmp_path):
     assert sorted(map(list, (r.ids for r in rows))) == sorted(want)
     assert [r.doc_id for r in rows] == sorted((r[0] for r in ODD), key=lambda x: (x is not None, x or 0))
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+    asked = [1, 2, 8, -5, 2**62, 77, -99]
+    found = tokenbin.lookup_ids(spark, str(tmp_path / "a"), asked).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in found) == sorted((r[0], w) for r, w in zip(ODD, want, strict=True) if r[0] in asked)
     tokenbin.write_ids(empty, str(tmp_path / "b"), tokenbin.vocabulary())
     assert tokenbin.read_ids(spark, str(tmp_path / "b")).count() == 0
 
