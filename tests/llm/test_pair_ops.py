@@ -126,10 +126,14 @@ def planted_copies(seed=3, bases=6, copies=14, words=300):
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_keep_one_links_near_copies(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,rest,levels", [(256, 1024, 3), (4, 0, 2)])
+def test_keep_one_links_near_copies(spark, monkeypatch, block, rest, levels):
+    """Files that are one cell; files in cells with pivots, whose rest meets all; files that are filed again, and then a grid."""
     monkeypatch.setattr(minhash, "FILE_ROWS", block)
-    rows = planted_copies()
+    monkeypatch.setattr(minhash, "REST_ROWS", rest)
+    monkeypatch.setattr(minhash, "LEVELS", levels)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    rows = planted_copies(bases=6 if block > 4 else 2)
     at = [brute_jaccard(rows[0][1], t) for _, t in rows[1:14]]
     assert max(at) > 0.95 and sum(0.8 <= x < 0.9 for x in at) > 2 and min(at) < 0.8
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
@@ -427,11 +431,74 @@ def test_pipeline_on_odd_rows(spark, folder, tmp_path):
         assert stage(spark, none, folder).count() == 0, n
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
+def brute_contaminated(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit = words(text), set()
+    for item in items:
+        b = words(item)
+        n = min(13, len(b))
+        grams = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if b else set()
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in grams:
+                hit.update(range(i, i + n))
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def brute_mixed(rows):
+    """(doc_id, text) as often as taken, of rows (doc_id, text, source)."""
+    words = lambda t: re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t or "")
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    size = {s: sum(len(words(r[1])) for r in rows if r[2] == s) for s in sources}
+    weight = {s: i % 3 + 1 for i, s in enumerate(sources)}
+    open_, target, left = set(sources), {}, sum(size.values())
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if share * weight[s] > 3 * size[s]}
+        if not over:
+            target |= {s: share * weight[s] for s in open_}
+            break
+        target |= {s: 3.0 * size[s] for s in over}
+        left -= sum(3 * size[s] for s in over)
+        open_ -= over
+    out = []
+    for s in sources:
+        rest = int(target[s])
+        own = sorted(((md5(f"0:{'' if d is None else d}:{md5(t or '')}"), words(t), d, t) for d, t, x in rows if x == s), key=lambda r: (r[0], r[2] or 0, len(r[1])))
+        while rest and size[s]:
+            for _, w, d, t in own:
+                n = min(rest, len(w))
+                if n:
+                    out.append((d, t if n == len(w) else "".join(w[:n])))
+                rest -= n
+    return out
+
 
-    rows = corpus_pipeline.run(spark, SF).orderBy("start").collect()
-    assert rows and rows[0].start == 0 and all(b.start == a.start + a.n_tokens and a.doc_id <= b.doc_id for a, b in zip(rows, rows[1:], strict=False))
+def test_pipeline_against_a_plain_version(spark):
+    """All stages over the smallest tables, one after another in plain Python."""
+    import zlib
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from bitsieve.llm import tokenbin, toxicity
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.orderBy("doc_id").collect()]
+    scorer = toxicity.train(docs, labels)
+    rows = [r for r in rows if scorer.score(np.array([scorer.sums(r[1])]))[0] < toxicity.THRESHOLD]
+    kept = brute_keep_one([r[:2] for r in rows])
+    rows = [r for i, r in enumerate(rows) if i in kept]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not brute_contaminated(r[1], items)]
+    t = Tokenizer.from_file(tokenbin.vocabulary())
+    want = Counter()
+    for d, text in brute_mixed(rows):
+        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        want[d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, SF).orderBy("start").collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want and len(got) > 100
+    assert got[0].start == 0 and all(b.start == a.start + a.n_tokens and a.doc_id <= b.doc_id for a, b in zip(got, got[1:], strict=False))
     assert {"__row", "__k", "__mark", "__bs_p0"} <= set(CLASH)
 
 

@@ -142,6 +142,71 @@ def test_every_stem_beyond_chance_is_learned(spark):
     assert all(any(w.startswith(s) for s in stems) for w in words) and len(stems) > 400
 
 
+def test_quality_against_a_plain_version(spark, documents):
+    """The query's rows: classes estimated and densities taken without Cholesky factors."""
+    import duckdb
+
+    known = sorted({(k, y) for k, y in duckdb.sql(f"SELECT doc_id, quality FROM '{SF}/labels.parquet' WHERE quality IN (0, 1)").fetchall() if zlib.crc32(str(k).encode()) % 5})
+    text = dict(documents)
+    x, y = np.array([quality.statistics(text[k]) for k, _ in known]), np.array([y for _, y in known])
+    d = quality.fit(x, y)
+    scale = lambda v: (v - x.mean(0)) / (x.std(0) + 1e-6)
+
+    def density(z, c):
+        s = np.linalg.inv(d.inverses[c].T @ d.inverses[c])
+        v = z - scale(x[y == c]).mean(0)
+        return -0.5 * v @ np.linalg.solve(s, v) - 0.5 * np.linalg.slogdet(s)[1]
+
+    for r in quality.op1_quality(spark, SF).collect():
+        z = scale(np.array(quality.statistics(text[r.doc_id])))
+        score = 1 / (1 + np.exp(-(np.arcsinh(density(z, 1) - density(z, 0)) * d.curve[0] + d.curve[1])))
+        assert np.isclose(r.score, score, atol=1e-6) and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_against_a_plain_version(spark, documents):
+    """The query's rows: n-grams counted in one loop, and the best path by a plain dynamic programme."""
+    import duckdb
+
+    lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").fetchall())
+    names = sorted({v for v in lang.values() if v})
+    counts = np.full((1 << language.TABLE_BITS, len(names)), language.SMOOTH)
+    for k, t in documents:
+        if t is not None and lang[k] and zlib.crc32(str(k).encode()) % 5:
+            for slot in language.grams(language.coded(t))[1]:
+                for i in slot.tolist():
+                    if i < len(counts):
+                        counts[i, names.index(lang[k])] += 1
+    logp = np.log(counts / counts.sum(0))
+    model = language.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert model.langs == names and np.allclose(model.weights[:-1], logp - logp.mean(1, keepdims=True), atol=1e-5)
+    got = {r.doc_id: r for r in language.op4_language(spark, SF).collect()}
+    for k, t in documents:
+        scores, letters = model.word_scores(t or "")
+        if not len(scores):
+            assert got[k].lang_pred == "und"
+            continue
+        best, back = scores[0].copy(), []
+        for s in scores[1:]:
+            step = best[:, None] - language.PENALTY * (1 - np.eye(len(names)))
+            back.append(step.argmax(0))
+            best = step.max(0) + s
+        value = best.max()
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        own = language.viterbi(scores, language.PENALTY)
+        assert np.isclose(scores[np.arange(len(own)), own].sum() - language.PENALTY * (own[1:] != own[:-1]).sum(), value)
+        share = np.bincount(path, letters, len(names)) / letters.sum()
+        assert got[k].lang_pred == names[int(share.argmax())] and np.isclose(got[k].score, share.max())
+
+
+def test_viterbi_on_stretches_that_pay_only_together():
+    assert language.viterbi(np.array([[50.0, 60, 0], [50, 0, 60]]), 12).tolist() == [1, 2]
+    s = np.array([[20.0, 0, 0], [5, 0, 6], [0, 5, 6], [0, 20, 0]])
+    path = language.viterbi(s, 4)
+    assert s[np.arange(4), path].sum() - 4 * (path[1:] != path[:-1]).sum() == 46
+
+
 def test_conflicting_labels_teach_nothing(spark):
     from bitsieve.llm.learn import labelled
 
