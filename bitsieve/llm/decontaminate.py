@@ -10,6 +10,8 @@ there is joined back to the documents to be verified.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")
 
 
-def window_hash(word_hashes: Column) -> Column:
-    return F.xxhash64(word_hashes)
+def window_hash(hashes: Column, start: Column, length: int) -> Column:
+    """Of the window of word hashes that starts there; null where it doesn't end in the array.
+
+    Plain array look-ups and exclusive ors, which compile into the scan's own code.
+    """
+    return reduce(lambda a, b: a.bitwiseXOR(b), [F.shiftleft(F.get(hashes, start + i), i) for i in range(length)])
 
 
 def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
@@ -39,18 +45,18 @@ def windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))
     w = w.select("item", "words", F.explode(starts).alias("i")).select("item", F.slice("words", F.col("i"), n).alias("gram"))
     w = w.groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return w.select(window_hash(F.transform("gram", lambda x: F.xxhash64(x))).alias("h"), F.size("gram").alias("len"), "gram", "items")
-
-
-def _scanned(hashes: str, lengths: list[int]) -> Column:
-    """Array of (len, pos, h): the windows of each length over an array of word hashes."""
-    n = F.size(hashes)
+    w = w.withColumns({"hashes": F.transform("gram", lambda x: F.xxhash64(x)), "len": F.size("gram")})
+    own = reduce(lambda rest, k: F.when(F.col("len") == k, window_hash(F.col("hashes"), F.lit(0), k)).otherwise(rest), range(1, n), window_hash(F.col("hashes"), F.lit(0), n))
+    return w.select(own.alias("h"), "len", "gram", "items")
 
-    def of(length: int) -> Column:
-        one = lambda i: F.struct(F.lit(length).alias("len"), (i - 1).alias("pos"), window_hash(F.slice(hashes, i, length)).alias("h"))
-        return F.when(n >= length, F.transform(F.sequence(F.lit(1), n - length + 1), one)).otherwise(F.array().cast("array<struct<len:int,pos:int,h:bigint>>"))
 
-    return F.concat(*map(of, lengths))
+def _scanned(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
+    """Rows with ``hashes`` of words -> the kept columns, pos, len and h: a row for each window of each length, and one of each text without words."""
+    rows = rows.select(*keep, "hashes", F.posexplode_outer("hashes").alias("pos", "x"))
+    found = [F.struct(F.lit(k).alias("len"), window_hash(F.col("hashes"), F.col("pos"), k).alias("h")) for k in lengths]
+    if len(found) > 1:
+        return rows.select(*keep, "pos", F.inline(F.array(*found)))
+    return rows.select(*keep, "pos", found[0]["len"].alias("len"), found[0]["h"].alias("h"))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WINDOW, keep: list[str] = ()) -> DataFrame:
@@ -72,7 +78,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
 def _hits_by_broadcast(rows: DataFrame, grams: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     """(doc_id, kept columns, n_words, hits, items) of each row; a row moves once, with its hits."""
     rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x)))
-    rows = rows.select("doc_id", *keep, "row", "words", F.inline_outer(_scanned("hashes", lengths)))
+    rows = _scanned(rows, ["doc_id", *keep, "row", "words"], lengths)
     grams = grams.select(F.col("h").alias("gh"), F.col("len").alias("gl"), "gram", "items")
     rows = rows.join(F.broadcast(grams), (F.col("h") == F.col("gh")) & (F.col("len") == F.col("gl")), "left")
     hit = F.col("gram").isNotNull() & (F.slice("words", F.col("pos") + 1, F.col("len")) == F.col("gram"))
@@ -91,8 +97,8 @@ def _hits_by_broadcast(rows: DataFrame, grams: DataFrame, lengths: list[int], ke
 def _hits_by_shuffle(rows: DataFrame, grams: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     """The same for a set of any size. The rows are written with their numbers; (row, len, pos, h) meet the set."""
     rows = cut(rows)
-    scanned = rows.select("row", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes")).select("row", F.inline(_scanned("hashes", lengths)))
-    met = scanned.join(grams, ["h", "len"]).groupBy("row").agg(F.collect_list(F.struct("pos", "len", "gram", "items")).alias("met"))
+    scanned = _scanned(rows.select("row", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(x)).alias("hashes")), ["row"], lengths)
+    met = scanned.where("h IS NOT NULL").join(grams, ["h", "len"]).groupBy("row").agg(F.collect_list(F.struct("pos", "len", "gram", "items")).alias("met"))
     words = words_of(F.col("text"))
     rows = rows.join(met, "row", "left").withColumn("words", words)
     sure = F.filter(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), lambda m: F.slice("words", m["pos"] + 1, m["len"]) == m["gram"])
