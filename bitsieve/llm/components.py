@@ -2,7 +2,7 @@
 
 No task holds more than its share of the edges: minima are partly aggregated
 before the shuffle, and the joins have plain shuffles on both sides, so adaptive
-execution splits a node with very many edges. Each round is checkpointed.
+execution splits a node with very many edges. Each half of a round is checkpointed.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ def connected(edges: DataFrame) -> DataFrame:
     before = _state(e)
     while before[0]:
         both = e.union(e.select("v", "u"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
         stars = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = _state(e)

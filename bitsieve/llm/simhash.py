@@ -8,7 +8,8 @@ so on, until files are small or twenty bits are left. That is exact at any size.
 In a file, fingerprints stand in the order of their Gray rank. Runs of neighbours
 make nodes, runs of nodes make upper nodes; a node keeps the bits that all below
 it share. Pairs of nodes are compared from the top: the shared bits in which they
-differ are a lower bound of all distances below, which drops whole groups. A file
+differ are added up on the way down, a lower bound of all distances below, which drops
+whole groups. A file
 returns a spanning forest of its links, never all pairs.
 
 ``keep_one``, which removes near copies at a similarity of 0.8 over five words, takes
@@ -99,51 +100,56 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Index of rows that are sorted by (group, Gray rank); links stay within a group."""
+    """Index of rows that are sorted by (group, Gray rank); links stay within a group.
+
+    A level holds for each of its nodes the bits' values and the mask of those that all
+    rows below share. On the way down a pair of nodes gains masked bits: only these are
+    compared, and what differs is added to what the pair above had.
+    """
 
     def __init__(self, group: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> None:
-        self.fp, self.distance = fp, distance
-        self.levels = [(fp, fp)]
+        self.distance = distance
+        every, some = fp, fp
+        self.levels = [(every, ~(every ^ some))]
         self.spans: list[np.ndarray] = []
         g = group
         while len(np.unique(g)) < len(g):
             start = np.concatenate([[True], g[1:] != g[:-1]])
             first = np.maximum.accumulate(np.where(start, np.arange(len(g)), 0))
             heads = np.flatnonzero((np.arange(len(g)) - first) % FANOUT == 0)
-            every, some = self.levels[-1]
-            self.levels.append((np.bitwise_and.reduceat(every, heads), np.bitwise_or.reduceat(some, heads)))
+            every, some = np.bitwise_and.reduceat(every, heads), np.bitwise_or.reduceat(some, heads)
+            self.levels.append((every, ~(every ^ some)))
             self.spans.append(np.append(heads, len(g)))
             g = g[heads]
 
-    def _near(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        every, some = self.levels[level]
-        shared = ~(every[a] ^ some[a]) & ~(every[b] ^ some[b])
-        return np.bitwise_count((every[a] ^ every[b]) & shared) <= self.distance
-
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of rows within the distance, in chunks."""
         top = len(self.levels) - 1
         n = len(self.levels[top][0])
-        stack = [(top, np.arange(n), np.arange(n))]
+        # Pairs of nodes, the mask of the bits that both share, and how many of these differ.
+        stack = [(top, np.arange(n), np.arange(n), self.levels[top][1], np.zeros(n, np.uint8))]
+        i, j = np.repeat(np.arange(FANOUT), FANOUT), np.tile(np.arange(FANOUT), FANOUT)
         while stack:
-            level, a, b = stack.pop()
+            level, a, b, mask, differ = stack.pop()
             if not level:
                 real = a != b
                 yield a[real], b[real]
                 continue
             if len(a) > CHUNK // FANOUT**2:
                 half = len(a) // 2
-                stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+                stack += [(level, *(v[half:] for v in (a, b, mask, differ))), (level, *(v[:half] for v in (a, b, mask, differ)))]
                 continue
             heads = self.spans[level - 1]
-            i = np.repeat(np.arange(FANOUT), FANOUT)
-            j = np.tile(np.arange(FANOUT), FANOUT)
             x, y = heads[a][:, None] + i, heads[b][:, None] + j
             ok = (x < heads[a + 1][:, None]) & (y < heads[b + 1][:, None]) & (x <= y)
+            above = np.nonzero(ok)[0]
             x, y = x[ok], y[ok]
-            near = self._near(level - 1, x, y)
+            every, shared = self.levels[level - 1]
+            both = shared[x] & shared[y]
+            differ = differ[above] + np.bitwise_count((every[x] ^ every[y]) & both & ~mask[above])
+            near = differ <= self.distance
             if near.any():
-                stack.append((level - 1, x[near], y[near]))
+                stack.append((level - 1, x[near], y[near], both[near], differ[near]))
 
 
 def union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

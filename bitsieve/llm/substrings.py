@@ -10,7 +10,9 @@ document with a smaller id. Documents are dealt to groups of a few megabytes.
 2. Strings in a row with the same shared minimizer are cut out together and sent
    to that minimizer's bucket; equal cut-outs of a group go once, for the least
    id. A minimizer that very many documents have is split: its strings go one by
-   one, to buckets by their content.
+   one, to buckets by their content. Where groups are many, some thousands of them
+   share such a bucket, and each bucket passes on one string of its equals, that of
+   the least id; so the commonest string doesn't gather in one place.
 3. A bucket compares cut-outs as a whole, drops those without a partner, and
    sorts the suffixes of the rest with a difference cover. Suffixes that agree in
    ``length`` bytes stand together; all but those of the least id are removed.
@@ -43,6 +45,8 @@ GROUP_BYTES, TASK_BYTES = 4 << 20, 64 << 20
 COMMON = 1000
 #: Strings of one minimizer in a row that are cut out together, at most.
 PIECE = 64
+#: Groups whose strings of a common minimizer meet in one bucket; more groups meet in two steps.
+SPLIT_GROUPS = 4096
 NO_ID = (1 << 63) - 1
 REST_BITS = 40
 U = np.uint64
@@ -143,6 +147,7 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 TO_BUCKET = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("data", pa.binary())])
 TO_GROUP = pa.schema([("grp", pa.int64()), ("data", pa.binary())])
+FOUND = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("data", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 BUCKET_DDL, GROUP_DDL = "bucket BIGINT, grp BIGINT, data BINARY", "grp BIGINT, data BINARY"
 
@@ -163,7 +168,7 @@ def _ask(rows: pa.Table, length: int, buckets: int) -> pa.Table:
     return _rows(TO_BUCKET, [(b, grp, _pack(key[p].view(np.uint8).reshape(-1, 8)[:, : REST_BITS // 8], docs[p])) for b, p in _blocks(key)])
 
 
-def _answer(rows: pa.Table) -> pa.Table:
+def _answer(rows: pa.Table, common: int) -> pa.Table:
     """Which minimizers of a bucket more than one document has, to each group that has them; the low bit tells those that are common."""
     bucket = rows.column("bucket")[0].as_py()
     groups, parts = rows.column("grp").to_pylist(), [_unpack(d) for d in rows.column("data").to_pylist()]
@@ -180,11 +185,11 @@ def _answer(rows: pa.Table) -> pa.Table:
         at += len(key)
         if (n > 1).any():
             full = U(bucket) << U(REST_BITS) | key[n > 1]
-            out.append((grp, _pack(full << U(1) | (n[n > 1] > COMMON).astype(U))))
+            out.append((grp, _pack(full << U(1) | (n[n > 1] > common).astype(U))))
     return _rows(TO_GROUP, out)
 
 
-def _cut_out(rows: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa.Table:
+def _cut_out(rows: pa.Table, answers: pa.Table, length: int, buckets: int, split: int) -> pa.Table:
     """Cut-outs for the buckets; and, in a bucket of the group's own, runs that it can tell by itself to be repeated."""
     if not rows.num_rows or not answers.num_rows:
         return _rows(TO_BUCKET, [])
@@ -211,7 +216,8 @@ def _cut_out(rows: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa
     key = np.concatenate([np.repeat(key, pieces), dealt(own, buckets)])
     doc = np.concatenate([np.repeat(doc, pieces), single_doc])
     order = np.argsort(doc, kind="stable")
-    start, size, key, rank = start[order], size[order], key[order], texts.rank[doc[order]]
+    is_single = np.arange(len(start)) >= len(start) - len(single)
+    start, size, key, rank, is_single = start[order], size[order], key[order], texts.rank[doc[order]], is_single[order]
     raw, seen, gone = texts.raw, {}, []
     # Of equal cut-outs the first has the least id; others of that id are more places of it.
     of = np.arange(len(start))
@@ -230,11 +236,14 @@ def _cut_out(rows: pa.Table, answers: pa.Table, length: int, buckets: int) -> pa
     places = start[order]
     number = np.bincount(of[order], minlength=len(of))[head]
     begin = np.cumsum(number) - number
-    for b, p in _blocks(key[head]):
-        p = np.sort(p)
-        h = head[p]
-        text = b"".join([raw[s : s + n] for s, n in zip(start[h].tolist(), size[h].tolist(), strict=True)])
-        out.append((b, grp, _pack(places[_spread(begin[p], number[p])].astype("<u4"), number[p].astype("<u4"), size[h].astype("<u4"), (key[h] & U(0xFFFFFFFF)).astype("<u4"), rank[h].astype("<i8"), text)))
+    fan = -(-buckets // split)
+    for one_by_one, offset in ((False, 0), (True, (2 if fan == 1 else 3 + grp % fan) * buckets)):
+        own = np.flatnonzero(is_single[head] == one_by_one)
+        for b, p in _blocks(key[head[own]]):
+            p = own[np.sort(p)]
+            h = head[p]
+            text = b"".join([raw[s : s + n] for s, n in zip(start[h].tolist(), size[h].tolist(), strict=True)])
+            out.append((b + offset, grp, _pack(places[_spread(begin[p], number[p])].astype("<u4"), number[p].astype("<u4"), size[h].astype("<u4"), (key[h] & U(0xFFFFFFFF)).astype("<u4"), rank[h].astype("<i8"), text)))
     return _rows(TO_BUCKET, out)
 
 
@@ -253,9 +262,16 @@ def _merged(runs: np.ndarray) -> np.ndarray:
 
 
 def _compare(rows: pa.Table, length: int, buckets: int) -> pa.Table:
-    """Runs of a bucket's cut-outs that start in a document of a smaller id too, to their groups."""
-    if rows.column("bucket")[0].as_py() >= buckets:
-        return rows.select(["grp", "data"]).cast(TO_GROUP)
+    """Runs of a bucket's cut-outs that start in a document of a smaller id too, to their groups (without a bucket).
+
+    Buckets from ``buckets`` on are runs that a group has found itself; the next as many
+    are strings one by one; those beyond hold such strings of some groups only, and pass
+    on what has the least id, to the bucket that all groups share.
+    """
+    bucket = rows.column("bucket")[0].as_py()
+    kind = min(bucket // buckets, 3)
+    if kind == 1:
+        return _rows(FOUND, [(None, g, d) for g, d in zip(rows.column("grp").to_pylist(), rows.column("data").to_pylist(), strict=True)])
     columns: list[list] = [[] for _ in range(6)]
     text = []
     for g, d in zip(rows.column("grp").to_pylist(), rows.column("data").to_pylist(), strict=True):
@@ -279,6 +295,14 @@ def _compare(rows: pa.Table, length: int, buckets: int) -> pa.Table:
     del seen
     gone, kept = np.array(gone, np.int64), np.array(kept, np.int64)
     found = [np.stack([gone, np.zeros(len(gone), np.int64), size[gone]], 1)]
+    out = []
+    if kind == 3:
+        for own in np.split(kept, np.flatnonzero(np.diff(source[kept])) + 1) if len(kept := kept[np.argsort(source[kept], kind="stable")]) else []:
+            its = b"".join([raw[a : a + n] for a, n in zip(at[own].tolist(), size[own].tolist(), strict=True)])
+            arrays = (place[_spread(begin[own], number[own])], number[own], size[own], key[own])
+            out.append((2 * buckets + bucket % buckets, int(source[own[0]]), _pack(*[x.astype("<u4") for x in arrays], rank[own].astype("<i8"), its)))
+    if kind >= 2:
+        kept = kept[:0]
     # A cut-out whose minimizer no other cut-out has repeats nothing.
     kept = kept[np.argsort(key[kept], kind="stable")]
     k = key[kept]
@@ -295,11 +319,10 @@ def _compare(rows: pa.Table, length: int, buckets: int) -> pa.Table:
     again = np.repeat(runs, number[own], axis=0)
     again[:, 0] = source[again[:, 0]]
     again[:, 1:] += where[:, None]
-    out = []
     again = again[np.argsort(again[:, 0], kind="stable")]
     for part in np.split(again, np.flatnonzero(np.diff(again[:, 0])) + 1) if len(again) else []:
-        out.append((int(part[0, 0]), _pack(_merged(part[:, 1:]))))
-    return _rows(TO_GROUP, out)
+        out.append((None, int(part[0, 0]), _pack(_merged(part[:, 1:]))))
+    return _rows(FOUND, out)
 
 
 def _by_suffixes(raw: bytes, at: np.ndarray, size: np.ndarray, rank: np.ndarray, name: np.ndarray, length: int) -> np.ndarray:
@@ -356,15 +379,22 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES + 1)
     n = max(tasks, total // GROUP_BYTES + 1)
+    common, split = COMMON, SPLIT_GROUPS
     # Tasks follow the input, whatever the session's number of shuffle partitions.
     by = lambda df, key: df.repartition(tasks, key).groupBy(key)
     docs = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
     asked = by(docs, "grp").applyInArrow(lambda t: _ask(t, length, n), BUCKET_DDL)
-    answers = cut(by(asked, "bucket").applyInArrow(_answer, GROUP_DDL))
+    answers = cut(by(asked, "bucket").applyInArrow(lambda t: _answer(t, common), GROUP_DDL))
     del asked
     release(spark)
-    sent = by(docs, "grp").cogroup(by(answers, "grp")).applyInArrow(lambda a, b: _cut_out(a, b, length, n), BUCKET_DDL)
-    runs = cut(by(sent, "bucket").applyInArrow(lambda t: _compare(t, length, n), GROUP_DDL))
+    sent = by(docs, "grp").cogroup(by(answers, "grp")).applyInArrow(lambda a, b: _cut_out(a, b, length, n, split), BUCKET_DDL)
+    compared = lambda t: _compare(t, length, n)
+    runs = cut(by(sent, "bucket").applyInArrow(compared, BUCKET_DDL))
+    if n > split:
+        # What is passed on isn't passed on again.
+        more = cut(by(runs.where("bucket IS NOT NULL"), "bucket").applyInArrow(compared, BUCKET_DDL))
+        runs = runs.where("bucket IS NULL").union(more)
+    runs = runs.select("grp", "data")
     del answers, sent
     release(spark)
     return by(docs, "grp").cogroup(by(runs, "grp")).applyInArrow(lambda a, b: _finish(a, b, keep), "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept BINARY")

@@ -212,9 +212,11 @@ def brute_repeats(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("common", [1000, 3])
-def test_substrings(spark, documents, odd, empty, monkeypatch, common):
+@pytest.mark.parametrize("common,groups", [(1000, 4096), (3, 4096), (1, 2)])
+def test_substrings(spark, documents, odd, empty, monkeypatch, common, groups):
+    """Strings of common minimizers one by one, in buckets of all groups and of few."""
     monkeypatch.setattr(substrings, "COMMON", common)
+    monkeypatch.setattr(substrings, "SPLIT_GROUPS", groups)
     got = [tuple(r) for r in substrings.op6_substrings(spark, SF).collect()]
     assert key(got) == key(brute_repeats(documents))
     rows = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in substrings.remove_repeats(odd).collect()]
