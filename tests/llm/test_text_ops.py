@@ -187,9 +187,10 @@ def test_language_against_a_plain_version(spark, documents):
             continue
         best, back = scores[0].copy(), []
         for s in scores[1:]:
-            step = best[:, None] - language.PENALTY * (1 - np.eye(len(names)))
-            back.append(step.argmax(0))
-            best = step.max(0) + s
+            # Of equals the path that doesn't switch, then the language first by name.
+            moved = best.max() - language.PENALTY
+            back.append(np.where(best >= moved, np.arange(len(names)), best.argmax()))
+            best = np.maximum(best, moved) + s
         value = best.max()
         path = [int(best.argmax())]
         for b in reversed(back):
