@@ -238,7 +238,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
         small = rows if last else rows.where(F.col("n") <= FILE_ROWS)
         # Level in front of the path: the same path and key of two levels are different files.
         small = small.select((F.col("path") + (level << 16)).alias("path"), "key", "fp")
-        edges = small.repartition("path", "key").sortWithinPartitions("path", "key").mapInArrow(_forests, "a BIGINT, b BIGINT")
+        # By a hash of its own: dealt by the join's own keys, files came out split over tasks and lost links (Spark may leave such a shuffle out).
+        edges = small.repartition(F.xxhash64("path", "key")).sortWithinPartitions("path", "key").mapInArrow(_forests, "a BIGINT, b BIGINT")
         out = edges if out is None else out.union(edges)
         if last or counts.where(F.col("n") > FILE_ROWS).isEmpty():
             break

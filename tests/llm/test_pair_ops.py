@@ -240,6 +240,27 @@ def test_simhash_links(spark, rows, limit, monkeypatch):
     assert (labels == want).all()
 
 
+def test_simhash_files_are_whole_beside_many_others(spark):
+    """Dense groups among so many other fingerprints that the files' counts aren't broadcast beforehand."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    dense = np.full(8000, rng.integers(0, 1 << 63, dtype=np.uint64))
+    flips = rng.integers(0, 9, 8000)
+    for k in range(9):
+        dense[flips > k] ^= np.uint64(1) << rng.integers(0, 64, (flips > k).sum()).astype(np.uint64)
+    dense = np.unique(dense)
+    f = np.unique(np.concatenate([dense, rng.integers(0, 1 << 63, 300_000, dtype=np.uint64)]))
+    edges = simhash.fingerprint_links(spark.createDataFrame(pd.DataFrame({"fp": f.view(np.int64)})).repartition(8)).toPandas()
+    a, b = (np.searchsorted(f, edges[c].to_numpy().view(np.uint64)) for c in "ab")
+    got = len(np.unique(simhash.union(np.arange(len(f)), a, b)[np.searchsorted(f, dense)]))
+    want = np.arange(len(dense))
+    for i in range(len(dense)):
+        near = np.flatnonzero(np.bitwise_count(dense ^ dense[i]) <= 3)
+        want = simhash.union(want, np.full(len(near), i), near)
+    assert got == len(np.unique(want))
+
+
 def test_gray_rank_and_masks():
     code = np.array([i ^ (i >> 1) for i in range(1000)], np.uint64)
     assert (simhash.gray_rank(code) == np.arange(1000)).all()
